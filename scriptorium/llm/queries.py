@@ -4,17 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op06_exact
+from . import op01_mix, op05_pack, op06_exact
 from .common import table
 from .sql import ORACLES
 
 
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op01_mix.report(table(spark, sf_dir, "documents"))
+
+
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return op05_pack.report(table(spark, sf_dir, "documents"), public_tokenizers.path(op05_pack.TOKENIZER))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_exact.report(table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {f.__name__: f for f in (op6_exact_dedup,)}
+    return {f.__name__: f for f in (op1_mix, op5_pack, op6_exact_dedup)}
 
 
 def oracle_sql():
