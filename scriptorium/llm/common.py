@@ -142,26 +142,24 @@ def lowered(data: np.ndarray) -> np.ndarray:
 def connected(edges: DataFrame, name: str, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for every node of an edge the smallest node that links reach.
 
-    Alternating large-star and small-star rounds on a table written each round, so that the
-    number of rounds grows with the logarithm of a chain's length; no group meets in one task
-    except as partial minima.  Few edges are solved at once by a union-find over one array,
-    whose size is checked first.
+    Alternating large-star and small-star rounds, each written to the shared folder, so the number of
+    rounds grows with the logarithm of a chain's length and lineage stays short.  A hub's neighbours
+    meet only as partial minima and in joins that can be split.
     """
-    spark = edges.sparkSession
     now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), f"{name}-edges")
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
+    state = mark(now)
     while True:
-        count = now.count()
-        # large star: every larger neighbour (and the node) points to the smallest neighbour
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # large star: larger neighbours, and the node, point to the smallest neighbour
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.distinct()
-        # small star: every smaller neighbour (and the node) points to the smallest of them
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v")
-        after = stored(small.distinct(), f"{name}-edges")
-        changed = after.count() != count or after.exceptAll(now).limit(1).count() > 0
-        now = after
-        if not changed:
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small star: smaller neighbours, and the node, point to the smallest of them
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        now = stored(small.where("u <> v").distinct(), f"{name}-edges")
+        before, state = state, mark(now)
+        if state == before:
             break
-    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    star = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return star.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import op01_mix, op05_pack, op06_exact
+from . import op10_jaccard as op10_jaccard_module
 from .common import table
 from .sql import ORACLES
 
@@ -23,8 +24,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_exact.report(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_jaccard_module.report(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_mix, op5_pack, op6_exact_dedup)}
+    return {f.__name__: f for f in (op1_mix, op5_pack, op6_exact_dedup, op10_jaccard)}
 
 
 def oracle_sql():
