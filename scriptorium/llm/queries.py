@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_mix, op05_pack, op06_exact
+from . import op01_mix, op02_toxicity, op05_pack, op06_exact
 from . import op10_jaccard as op10_jaccard_module
 from .common import table
 from .sql import ORACLES
@@ -14,6 +14,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op01_mix.report(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op02_toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,7 +33,9 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_mix, op5_pack, op6_exact_dedup, op10_jaccard)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_mix, op2_toxicity, op5_pack, op6_exact_dedup, op10_jaccard)}
 
 
 def oracle_sql():
