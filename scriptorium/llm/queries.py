@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_mix, op02_toxicity, op05_pack, op06_exact
+from . import op01_mix, op02_toxicity, op05_pack, op06_exact, op09_caps
 from . import op10_jaccard as op10_jaccard_module
 from .common import table
 from .sql import ORACLES
@@ -28,6 +28,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_exact.report(table(spark, sf_dir, "documents"))
 
 
+def op9_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op09_caps.report(table(spark, sf_dir, "embeddings"))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_jaccard_module.report(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_mix, op2_toxicity, op5_pack, op6_exact_dedup, op10_jaccard)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_mix, op2_toxicity, op5_pack, op6_exact_dedup, op9_caps, op10_jaccard)}
 
 
 def oracle_sql():
