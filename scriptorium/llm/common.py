@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -34,9 +35,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete shuffle files of finished jobs now: it waits for the driver's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def member_bits(ids: DataFrame, column: str, bits: int = 1 << 24) -> np.ndarray:
+    """A fixed-size Bloom filter (one hash) of a column of longs: ``bits`` / 8 bytes, whatever the number of rows.
+
+    It only saves work: rows that it lets through by chance are dropped by the join that follows.
+    """
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    bit = F.expr("shiftleft(1L, cast(place % 64 as int))")
+    rows = ids.select(place.alias("place")).groupBy((F.col("place") / 64).cast("int").alias("w")).agg(F.bit_or(bit).alias("v")).collect()
+    out = np.zeros(bits // 64, np.int64)
+    for r in rows:
+        out[r["w"]] = r["v"]
+    return out
+
+
 def wide_enough(spark: SparkSession, rows: int, rows_each: int) -> int:
     """Partitions so that each holds about ``rows_each`` rows, no fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))

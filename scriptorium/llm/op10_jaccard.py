@@ -166,20 +166,26 @@ def entries(bands: Bands):
 
 
 def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, those whose key another row has too; only a batch's last row waits for the next."""
-    last_key, waiting = None, None
+    """Of rows sorted by key, those whose key another row has too, with the key's first row as pivot.
+
+    Only a batch's last row waits for the next batch.
+    """
+    last_key, pivot, waiting = None, None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = batch.column(0).to_numpy()
+        key, uid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         before, after = np.zeros(len(key), bool), np.zeros(len(key), bool)
         before[1:] = after[:-1] = key[1:] == key[:-1]
         before[0] = last_key is not None and key[0] == last_key
+        first = np.maximum.accumulate(np.where(before, -1, np.arange(len(key))))
+        pivots = np.where(first >= 0, uid[np.maximum(first, 0)], pivot if pivot is not None else uid[0])
         if waiting is not None and before[0]:
             yield waiting
         keep = before | after
-        yield batch.filter(pa.array(keep))
-        last_key, waiting = key[-1], None if keep[-1] else batch.slice(len(key) - 1)
+        out = pa.record_batch([batch.column(0), batch.column(1), pa.array(pivots, pa.int64())], names=["key", "uid", "pivot"])
+        yield out.filter(pa.array(keep))
+        last_key, pivot, waiting = key[-1], pivots[-1], None if keep[-1] else out.slice(len(key) - 1)
 
 
 def common_count(a: np.ndarray, b: np.ndarray) -> int:
@@ -261,10 +267,19 @@ def checker(threshold: Fraction):
     return check
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in common.slices(batches, "text"):
-        sets, offsets = shingle_sets(batch.column(1))
-        yield pa.record_batch([batch.column(0), pa.array([sets[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["uid", "set"])
+def set_rows(wanted):
+    """uid, mark, text -> the sets of the rows that a Bloom filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = wanted.value
+        for batch in batches:
+            mark = batch.column(1).to_numpy()
+            batch = batch.filter(pa.array((words[mark >> 6].view(np.uint64) >> (mark & 63).astype(np.uint64)) & np.uint64(1) == 1))
+            for part in common.slices(iter([batch]), "text"):
+                sets, offsets = shingle_sets(part.column(2))
+                yield pa.record_batch([part.column(0), pa.array([sets[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["uid", "set"])
+
+    return run
 
 
 def verified(pairs: DataFrame, texts: DataFrame, known: DataFrame, threshold: Fraction, name: str) -> DataFrame:
@@ -279,7 +294,11 @@ def verified(pairs: DataFrame, texts: DataFrame, known: DataFrame, threshold: Fr
 
     left = common.stored(pairs.distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(bound, "a long, b long"), f"{name}-bounded")
     ids = left.select(F.col("a").alias("uid")).union(left.select(F.col("b").alias("uid"))).distinct()
-    needed = common.stored(texts.join(ids, "uid", "left_semi").mapInArrow(_set_rows, "uid long, set binary"), f"{name}-sets")
+    bits = common.member_bits(ids, "uid")
+    wanted = texts.sparkSession.sparkContext.broadcast(bits)
+    marked = texts.select("uid", F.pmod(F.xxhash64("uid"), F.lit(len(bits) * 64)).alias("mark"), "text")
+    needed = marked.mapInArrow(set_rows(wanted), "uid long, set binary").join(ids, "uid", "left_semi")
+    needed = common.stored(needed, f"{name}-sets")
     both = left.join(needed.select(F.col("uid").alias("a"), F.col("set").alias("set_a")), "a").join(needed.select(F.col("uid").alias("b"), F.col("set").alias("set_b")), "b")
     return both.select("a", "b", "set_a", "set_b").mapInArrow(checker(threshold), "a long, b long")
 
@@ -301,19 +320,23 @@ def classes(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD) -> Dat
     # tiles
     parts = common.wide_enough(spark, int(0.6 * (total[1] or 0)), ROWS_EACH)
     plain = texts.select("uid", "text")
-    tiles = plain.mapInArrow(entries(bands), ENTRY).repartition(parts, "key").sortWithinPartitions("key", "uid").mapInArrow(shared, ENTRY)
+    tiles = plain.mapInArrow(entries(bands), ENTRY).repartition(parts, "key").sortWithinPartitions("key", "uid").mapInArrow(shared, ENTRY + ", pivot long")
     tiles = common.stored(tiles, "op10-tiles")
-    tiles = common.stored(tiles.join(member.select("uid", "rep"), "uid").select("key", "rep").distinct(), "op10-tile-reps")
-    # stars: every member with its tile's smallest
-    pivot = tiles.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("key", "a")
-    stars = tiles.join(pivot, "key").where("rep <> a").select("a", F.col("rep").alias("b"))
-    links = common.stored(verified(stars, plain, known, threshold, "op10-star"), "op10-links")
-    comps = common.connected(links, "op10-star")
-    comps = common.stored(known.select(F.col("uid").alias("node")).join(comps, "node", "left").select(F.col("node").alias("rep"), F.coalesce("component", "node").alias("comp")), "op10-comps")
-    # the tiles that still hold several components
-    placed = tiles.join(comps, "rep")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    open_ = placed.join(mixed, "key").join(known.select(F.col("uid").alias("rep"), "n_shingles", "bitmap"), "rep").select("key", "rep", "comp", "n_shingles", "bitmap")
+    # stars: every member with its tile's first
+    rep_of = lambda x: member.select(F.col("uid").alias(x), F.col("rep").alias(f"rep_{x}"))
+    stars = tiles.where("uid <> pivot").select("uid", "pivot").distinct().join(rep_of("uid"), "uid").join(rep_of("pivot"), "pivot").where("rep_uid <> rep_pivot")
+    stars = common.stored(stars, "op10-stars")
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    links = common.stored(verified(stars.select(*pair("rep_uid", "rep_pivot")), plain, known, threshold, "op10-star"), "op10-links")
+    linked = common.stored(common.connected(links, "op10-star"), "op10-comps")
+    comp_of = lambda x: linked.select(F.col("node").alias(x), F.col("component").alias(f"comp_{x}"))
+    # the tiles that still hold several components are those with a star pair across components
+    apart = stars.join(comp_of("rep_uid"), "rep_uid", "left").join(comp_of("rep_pivot"), "rep_pivot", "left")
+    apart = apart.where(F.coalesce("comp_rep_uid", "rep_uid") != F.coalesce("comp_rep_pivot", "rep_pivot")).select("uid", "pivot")
+    keys = common.stored(tiles.join(apart, ["uid", "pivot"], "left_semi").select("key").distinct(), "op10-open")
+    held = tiles.select("key", "uid").join(keys, "key", "left_semi").join(rep_of("uid"), "uid").select("key", F.col("rep_uid").alias("rep")).distinct()
+    held = held.join(comp_of("rep"), "rep", "left").withColumn("comp", F.coalesce("comp_rep", "rep"))
+    open_ = held.join(known.select(F.col("uid").alias("rep"), "n_shingles", "bitmap"), "rep").select("key", "rep", "comp", "n_shingles", "bitmap")
     open_ = open_.repartition(parts, "key").sortWithinPartitions("key", "rep")
     rest = verified(open_.mapInArrow(across(threshold), "a long, b long"), plain, known, threshold, "op10-rest")
     all_links = common.stored(links.union(rest), "op10-links")
