@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_mix, op02_toxicity, op05_pack, op06_exact, op09_caps
+from . import op01_mix, op02_toxicity, op03_suffix, op05_pack, op06_exact, op09_caps
 from . import op10_jaccard as op10_jaccard_module
 from .common import table
 from .sql import ORACLES
@@ -18,6 +18,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op03_suffix.report(table(spark, sf_dir, "documents"))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,7 +43,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_mix, op2_toxicity, op5_pack, op6_exact_dedup, op9_caps, op10_jaccard)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_mix, op2_toxicity, op3_suffix, op5_pack, op6_exact_dedup, op9_caps, op10_jaccard)}
 
 
 def oracle_sql():
