@@ -45,18 +45,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def member_bits(ids: DataFrame, column: str, bits: int = 1 << 24) -> np.ndarray:
-    """A fixed-size Bloom filter (one hash) of a column of longs: ``bits`` / 8 bytes, whatever the number of rows.
+def among(rows: DataFrame, ids: DataFrame, column: str, bits: int = 1 << 24) -> DataFrame:
+    """Rows whose id may be among ``ids``: a Bloom filter of one hash, of ``bits`` bits whatever the input's size.
 
-    It only saves work: rows that it lets through by chance are dropped by the join that follows.
+    The broadcast side has at most bits / 64 rows.  It only saves shuffling: the join that follows drops the rows
+    let through by chance.
     """
     place = F.pmod(F.xxhash64(column), F.lit(bits))
-    bit = F.expr("shiftleft(1L, cast(place % 64 as int))")
-    rows = ids.select(place.alias("place")).groupBy((F.col("place") / 64).cast("int").alias("w")).agg(F.bit_or(bit).alias("v")).collect()
-    out = np.zeros(bits // 64, np.int64)
-    for r in rows:
-        out[r["w"]] = r["v"]
-    return out
+    bit = F.shiftright(F.col("__place"), 6).alias("__word")
+    words = ids.select(place.alias("__place")).select(bit, F.expr("shiftleft(1L, cast(__place & 63 as int))").alias("__bit"))
+    words = stored(words.groupBy("__word").agg(F.bit_or("__bit").alias("__bits")).coalesce(8), "members")
+    marked = rows.withColumn("__place", place).withColumn("__word", F.shiftright("__place", 6)).join(F.broadcast(words), "__word")
+    return marked.where(F.expr("(shiftright(__bits, cast(__place & 63 as int)) & 1) = 1")).select(rows.columns)
 
 
 def wide_enough(spark: SparkSession, rows: int, rows_each: int) -> int:

@@ -249,39 +249,24 @@ def across(threshold: Fraction, block: int = 512):
 
 
 def checker(threshold: Fraction):
-    """Rows (a, set of a, array of (b, set of b)) -> the pairs that link, by exact intersection."""
+    """Rows (a, b, text_a, text_b) -> the pairs that link, by exact intersection of their sorted sets."""
     p, q = threshold.numerator, threshold.denominator
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            left, right = batch.column("set_a"), batch.column("set_b")
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (left, right))
-                n = common_count(x, y)
-                if q * n >= p * (len(x) + len(y) - n):
-                    found.append((a[i], b[i]))
-            yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+        for whole in batches:
+            for batch in common.slices(iter([whole]), "text_b", 1 << 20):
+                x, of_x = shingle_sets(batch.column(2))
+                y, of_y = shingle_sets(batch.column(3))
+                ok = np.zeros(batch.num_rows, bool)
+                for i in range(batch.num_rows):
+                    left, right = x[of_x[i] : of_x[i + 1]], y[of_y[i] : of_y[i + 1]]
+                    n = common_count(left, right)
+                    ok[i] = q * n >= p * (len(left) + len(right) - n)
+                yield batch.select([0, 1]).filter(pa.array(ok))
 
     return check
 
 
-def set_rows(wanted):
-    """uid, mark, text -> the sets of the rows that a Bloom filter lets through."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = wanted.value
-        for batch in batches:
-            mark = batch.column(1).to_numpy()
-            batch = batch.filter(pa.array((words[mark >> 6].view(np.uint64) >> (mark & 63).astype(np.uint64)) & np.uint64(1) == 1))
-            for part in common.slices(iter([batch]), "text"):
-                sets, offsets = shingle_sets(part.column(2))
-                yield pa.record_batch([part.column(0), pa.array([sets[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["uid", "set"])
-
-    return run
-
-
 def verified(pairs: DataFrame, texts: DataFrame, known: DataFrame, threshold: Fraction, name: str) -> DataFrame:
     """The distinct candidate pairs (a < b) that link; each pair meets its bitmaps first, then its sets."""
     facts = known.select("uid", "n_shingles", "bitmap")
@@ -293,14 +278,9 @@ def verified(pairs: DataFrame, texts: DataFrame, known: DataFrame, threshold: Fr
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     left = common.stored(pairs.distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(bound, "a long, b long"), f"{name}-bounded")
-    ids = left.select(F.col("a").alias("uid")).union(left.select(F.col("b").alias("uid"))).distinct()
-    bits = common.member_bits(ids, "uid")
-    wanted = texts.sparkSession.sparkContext.broadcast(bits)
-    marked = texts.select("uid", F.pmod(F.xxhash64("uid"), F.lit(len(bits) * 64)).alias("mark"), "text")
-    needed = marked.mapInArrow(set_rows(wanted), "uid long, set binary").join(ids, "uid", "left_semi")
-    needed = common.stored(needed, f"{name}-sets")
-    both = left.join(needed.select(F.col("uid").alias("a"), F.col("set").alias("set_a")), "a").join(needed.select(F.col("uid").alias("b"), F.col("set").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(checker(threshold), "a long, b long")
+    of = lambda x: common.among(texts, left.select(F.col(x).alias("uid")), "uid").select(F.col("uid").alias(x), F.col("text").alias(f"text_{x}"))
+    both = left.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(checker(threshold), "a long, b long")
 
 
 def classes(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD) -> DataFrame:
