@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_mix, op02_toxicity, op03_suffix, op05_pack, op06_exact, op07_pii, op08_language, op09_caps
+from . import op01_mix, op02_toxicity, op03_suffix, op04_ctw, op05_pack, op06_exact, op07_pii, op08_language, op09_caps
 from . import op10_jaccard as op10_jaccard_module
 from .common import table
 from .sql import ORACLES
@@ -22,6 +22,10 @@ def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op03_suffix.report(table(spark, sf_dir, "documents"))
 
 
+def op4_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op04_ctw.report(table(spark, sf_dir, "documents"))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,7 +55,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_mix, op2_toxicity, op3_suffix, op5_pack, op6_exact_dedup, op7_pii, op8_language, op9_caps, op10_jaccard)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_mix, op2_toxicity, op3_suffix, op4_ctw, op5_pack, op6_exact_dedup, op7_pii, op8_language, op9_caps, op10_jaccard)}
 
 
 def oracle_sql():
