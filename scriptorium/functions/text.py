@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,6 +24,24 @@ def fold(c: Column, rules: Rules) -> Column:
     return reduce(lambda x, rule: sub(x, *rule), rules, c)
 
 
+def let(c: Column, use) -> Column:
+    """``use(x)`` with x bound to the value of ``c``, which is worked out once however often x occurs."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
+def fold_where_any(c: Column, rules: Rules) -> Column:
+    """As ``fold``, but a text that no rule matches meets one alternation instead of every rule.
+
+    The first rule that changes anything matches the text as it came, so a text without any match stays as it is.
+    """
+    heads: dict[str, list[str]] = {}
+    for pattern, _ in rules:
+        flags = re.match(r"(?:\(\?[a-zA-Z]+\))?", pattern)[0]
+        heads.setdefault(flags, []).append(pattern[len(flags) :])
+    tests = [f"{flags}(?:{'|'.join(bodies)})" for flags, bodies in heads.items()]
+    return let(c, lambda x: F.when(reduce(lambda a, b: a | b, [x.rlike(t) for t in tests]), fold(x, rules)).otherwise(x))
+
+
 def stripped(c: Column) -> Column:
     return sub(c, r"(?U)^\s+|\s+$")
 
@@ -58,11 +77,6 @@ def score(c: Column) -> Column:
     return F.coalesce(F.least(letters(c) / F.nullif(F.length(F.translate(c, " \n", "")), F.lit(0)), F.lit(1.0)), F.lit(0.0))
 
 
-def upper_after(c: Column, before: str) -> Column:
-    """The lower-case ASCII letters that stand right after ``before`` in upper case."""
-    return F.array_join(F.transform(F.split(c, f"(?<={before})(?=[a-z])", -1), lambda x: x), "\u0000")
-
-
 def capitalised(c: Column, before: str) -> Column:
     """Upper-cases a-z right after ``before`` (a fixed-width pattern), then the first character if it is lower case.
 
@@ -71,7 +85,7 @@ def capitalised(c: Column, before: str) -> Column:
     first_up = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))
     parts = F.split(c, f"(?<={before})(?=[a-z])", -1)
     joined = F.array_join(F.transform(parts, lambda x, i: F.when(i > 0, first_up(x)).otherwise(x)), "")
-    return F.when(joined.rlike(r"^\p{Ll}"), first_up(joined)).otherwise(joined)
+    return let(joined, lambda x: F.when(x.rlike(r"^\p{Ll}"), first_up(x)).otherwise(x))
 
 
 #: A number run into letters, unless they make an ordinal; two letters run into a digit.

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rules
-from scriptorium.functions.text import NUMBER_BOUNDARIES, Rules, blank, by_line, filled, fold, letters, stripped, sub
+from scriptorium.functions.text import NUMBER_BOUNDARIES, Rules, blank, by_line, filled, fold, let, letters, stripped, sub
 
 LONE_NOISE: Rules = ((r"(?U)(?<!\S)[^a-zA-Z0-9$€£¥₹.,!?;:'\-\"](?!\S)", ""),)
 HYPHEN_BREAK: Rules = ((r"(?U)(\w)-\s{2,}(\w)", "$1$2"),)
@@ -76,7 +76,7 @@ def clean_line(line: Column) -> Column:
     fixed = sub(stripped(fixed), r"[ \t]+", " ")
     kept = F.concat(F.regexp_extract(line, r"(?U)^(\s*)", 1), fixed)
     # the indent joins the fixed text, so what is blank then was emptied by the fixes
-    return F.when(blank(line), F.lit("")).when(~blank(kept), kept)
+    return F.when(blank(line), F.lit("")).otherwise(let(kept, lambda x: F.when(~blank(x), x)))
 
 
 def clean(c: Column, speller=None, confidence: Column | None = None) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import textwrap
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,10 +53,6 @@ def formatted(c: Column, kind: Column) -> Column:
 
 def wrap_rows(df, width: int, text: str = "text"):
     """One row a rendered line: (is_blank, text, indent, line_no); long lines wrapped, the indent on the first piece."""
-    import textwrap
-
-    import pandas as pd
-
     @F.pandas_udf("array<struct<is_blank boolean, text string, indent int>>")
     def laid(texts: pd.Series) -> pd.Series:
         def one(value: str | None) -> list[dict]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rules
-from scriptorium.functions.text import NUMBER_BOUNDARIES, SINGLE_SPACES, STANDALONE_I, Rules, blank, by_line, capitalised, filled, fold, letter_share, lines, stripped, sub, title_word, words
+from scriptorium.functions.text import NUMBER_BOUNDARIES, SINGLE_SPACES, STANDALONE_I, Rules, blank, by_line, capitalised, filled, fold, fold_where_any, let, letter_share, lines, stripped, sub, title_word, words
 
 SPACING: Rules = (("([.!?])([A-Za-z])", "$1 $2"), ("([,;:])([A-Za-z])", "$1 $2"))
 BRACKETS: Rules = ((r"([)\]])([A-Za-z])", "$1 $2"),)
@@ -77,7 +77,7 @@ def chars(c: Column) -> Column:
 
 
 def academic(c: Column) -> Column:
-    return fold(c, rules.ACADEMIC)
+    return fold_where_any(c, rules.ACADEMIC)
 
 
 def notes_headers(c: Column) -> Column:
@@ -89,7 +89,7 @@ def notes_structure(c: Column) -> Column:
 
 
 def word_fixes(c: Column) -> Column:
-    return fold(c, rules.POST_WORDS + STANDALONE_I)
+    return fold(fold_where_any(c, rules.POST_WORDS), STANDALONE_I)
 
 
 def common_errors(c: Column) -> Column:
@@ -102,7 +102,7 @@ def names(c: Column) -> Column:
 
 def merged_words(c: Column) -> Column:
     """Run-together words apart, then camel case within words of five ASCII letters and more."""
-    c = fold(c, rules.MERGED)
+    c = fold_where_any(c, rules.MERGED)
     parts = F.regexp_extract_all(c, F.lit(r"(?U)(?s)(\w+|\W+)"), F.lit(0))
     camel = F.transform(parts, lambda w: F.when(w.rlike("^[A-Za-z]{5,}$") & (w != F.upper(w)), sub(w, "([a-z])([A-Z])", "$1 $2")).otherwise(w))
     return F.array_join(camel, "")
@@ -116,16 +116,22 @@ def word_spacing(c: Column, brackets: bool = True) -> Column:
 
 def trailing_garbage_free(c: Column) -> Column:
     """Nothing after the last closing line but up to two short, alphabetic lines without digits."""
-    all_lines = lines(filled(c))
-    places = F.filter(F.transform(all_lines, lambda x, i: F.when(x.rlike(rules.CLOSING_LINE), i)), lambda x: x.isNotNull())
-    last = F.array_max(places)
+    return let(filled(c), _without_trail)
 
-    def keep(line: Column, i: Column) -> Column:
-        name = words(line).between(1, 3) & (letter_share(stripped(line)) >= 0.7) & ~line.rlike(r"(?U)\d")
-        return (i <= last) | ((i <= last + 2) & (blank(line) | name))
 
-    kept = F.transform(F.filter(F.transform(all_lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: keep(s["x"], s["i"])), lambda s: F.when((s["i"] > last) & blank(s["x"]), F.lit("")).otherwise(s["x"]))
-    return F.when(last.isNull(), filled(c)).otherwise(F.array_join(kept, "\n"))
+def _without_trail(c: Column) -> Column:
+    rows = F.transform(lines(c), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    closings = F.transform(F.filter(rows, lambda s: s["x"].rlike(rules.CLOSING_LINE)), lambda s: s["i"])
+
+    def cut(last: Column) -> Column:
+        def keep(s: Column) -> Column:
+            name = words(s["x"]).between(1, 3) & (letter_share(stripped(s["x"])) >= 0.7) & ~s["x"].rlike(r"(?U)\d")
+            return (s["i"] <= last) | ((s["i"] <= last + 2) & (blank(s["x"]) | name))
+
+        kept = F.transform(F.filter(rows, keep), lambda s: F.when((s["i"] > last) & blank(s["x"]), F.lit("")).otherwise(s["x"]))
+        return F.when(last.isNull(), c).otherwise(F.array_join(kept, "\n"))
+
+    return let(F.array_max(closings), cut)
 
 
 def notes_paragraphs(c: Column) -> Column:
@@ -135,25 +141,26 @@ def notes_paragraphs(c: Column) -> Column:
     )
 
 
-_DATE = re.compile(r"(\d{1,2}(?:st|nd|rd|th)?)\s+([A-Za-z]{1,9}\.?)\s+(1?20\d{2})", re.I)
-_MONTHS = rules.MONTH_OF | dict.fromkeys(rules.MISREAD_MAY, "May")
+DATE = r"[0-9]{1,2}(?:st|nd|rd|th)?\s+[A-Za-z]{1,9}\.?\s+1?20[0-9]{2}"
+DATE_PARTS = r"(?iU)^([0-9]{1,2}(?:st|nd|rd|th)?)\s+([A-Za-z]{1,9})\.?\s+1?(20[0-9]{2})$"
 
 
-def repaired_date(text: str) -> str:
-    """Dates written day, month, year: the month spelt out, 12023 read as 2023."""
+def repaired_dates(c: Column) -> Column:
+    """Dates written day, month, year: the month spelt out (May for its usual misreadings), 12023 read as 2023.
 
-    def repair(found: re.Match) -> str:
-        day, month, year = found.groups()
-        word = month.lower().rstrip(".")
-        name = _MONTHS.get(word) or next((full for key, full in _MONTHS.items() if len(key) > 2 and word[:3] == key[:3]), word.capitalize())
-        return f"{day} {name} {year[1:] if year.startswith('12') and len(year) == 5 else year}"
+    The text is cut, without loss, into dates, digits and what lies between; only dates change.
+    """
+    known = rules.MONTH_OF | dict.fromkeys(rules.MISREAD_MAY, "May")
+    months = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    heads = F.create_map(*(F.lit(x) for m in rules.MONTHS for x in (m[:3].lower(), m)), F.lit("nay"), F.lit("May"), F.lit("way"), F.lit("May"))
 
-    return re.sub(r"\b1(202[0-9])\b", r"\1", _DATE.sub(repair, text))
+    def repair(part: Column) -> Column:
+        day, word, year = (F.regexp_extract(part, DATE_PARTS, i) for i in (1, 2, 3))
+        month = let(F.lower(word), lambda w: F.coalesce(F.try_element_at(months, w), F.try_element_at(heads, F.when(F.length(w) > 2, F.substring(w, 1, 3))), F.initcap(w)))
+        return F.when(part.rlike(DATE_PARTS), F.concat_ws(" ", day, month, year)).otherwise(part)
 
-
-@F.pandas_udf("string")
-def repaired_dates(texts: pd.Series) -> pd.Series:
-    return texts.map(repaired_date, na_action="ignore")
+    parts = F.regexp_extract_all(filled(c), F.lit(rf"(?iU)({DATE}|[^0-9]+|[0-9])"), F.lit(1))
+    return sub(F.array_join(F.transform(parts, repair), ""), r"(?U)\b1(202[0-9])\b", "$1")
 
 
 # What tells addresses, dates, openings and closings among paragraphs.
@@ -187,9 +194,11 @@ def letter_parts(text: str) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
-def letter_paragraphs(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: letter_parts(t or ""))
+def letter_paragraphs(c: Column) -> Column:
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: letter_parts(t or ""))
+
+    return F.pandas_udf(run, "array<string>")(c)
 
 
 def polished(paragraphs: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rules
-from scriptorium.functions.text import NUMBER_BOUNDARIES, RN_TO_M, STANDALONE_I, Rules, blank, by_line, capitalised, filled, fold
+from scriptorium.functions.text import NUMBER_BOUNDARIES, RN_TO_M, STANDALONE_I, Rules, blank, by_line, capitalised, filled, fold, fold_where_any, let
 
 RUN_ON: Rules = (("([.!?])([A-Z][a-z])", "$1 $2"), ("(,)([A-Z][a-z]{2,})", "$1 $2"))
 PUNCTUATION: Rules = (
@@ -21,7 +21,7 @@ def rn_to_m(c: Column) -> Column:
 
 
 def word_fixes(c: Column) -> Column:
-    return fold(c, rules.RESOLVER_WORDS)
+    return fold_where_any(c, rules.RESOLVER_WORDS)
 
 
 def run_on(c: Column) -> Column:
@@ -50,5 +50,4 @@ def resolve_line(line: Column) -> Column:
 
 
 def resolve(c: Column) -> Column:
-    c = filled(c)
-    return F.when(blank(c), c).otherwise(list_markers(by_line(c, resolve_line)))
+    return let(filled(c), lambda x: F.when(blank(x), x).otherwise(list_markers(by_line(x, resolve_line))))
