@@ -8,7 +8,8 @@ its own band and, as a guest, under the next.  Documents that share a tile are c
 the linked pairs is missed.  Empty segments are no keys: a document with few of them has a non-empty
 common segment with every partner by count, and the rare others add keys for their empty segments.
 
-Within a tile a pair meets the size test, then the bitmap bound: with 512-bit signatures of both sets,
+Within a tile a pair meets the size test, then the bitmap bound: of hashed bitmap signatures of both sets
+(a power of two of bits, about twice the set's size; a longer one is folded to a shorter one's length)
 the differing bits are no more than the differing elements, so the common count is bounded from above by
 (|A| + |B| - differing bits) / 2.  Pairs that pass are intersected exactly as sorted arrays.
 
@@ -36,7 +37,8 @@ from pyspark.sql import functions as F
 from . import common
 
 N, THRESHOLD = 5, Fraction(4, 5)
-BITS = 512
+#: Bits of the shortest signature.
+BITS = 256
 ROWS_EACH = 2_000_000
 SETS = "uid long, doc_id long, n_shingles long, f1 long, f2 long, bitmap binary"
 ENTRY = "key long, uid long"
@@ -79,17 +81,29 @@ def _long(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.uint64).view(np.int64), pa.int64())
 
 
+def signature(elements: np.ndarray) -> bytes:
+    """A bitmap of the elements' low bits; its length is the power of two from 1.5 to 3 times their number."""
+    width = max(BITS, 1 << int(np.ceil(np.log2(max(1.0, 1.5 * len(elements))))))
+    bits = np.zeros(width, bool)
+    bits[(elements & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """A signature at a shorter length: the signature that the same set has there."""
+    while len(bitmap) > words:
+        bitmap = bitmap[: len(bitmap) // 2] | bitmap[len(bitmap) // 2 :]
+    return bitmap
+
+
 def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """uid, doc_id, text -> the set's size, 128-bit fingerprint and bitmap."""
     for batch in common.slices(batches, "text"):
         sets, offsets = shingle_sets(batch.column(2))
         size = np.diff(offsets)
-        owner = np.repeat(np.arange(len(size)), size)
-        bits = np.zeros((len(size), BITS), bool)
-        bits[owner, (sets & np.uint64(BITS - 1)).astype(np.int64)] = True
-        packed = np.packbits(bits, axis=1)
+        packed = [signature(sets[i:j]) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
         f1, f2 = _sums(common.mix(sets), offsets), _sums(common.mix(sets ^ np.uint64(0x5851F42D4C957F2D)), offsets)
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(size, pa.int64()), _long(f1), _long(f2), pa.array([x.tobytes() for x in packed], pa.binary())], names=[x.split()[0] for x in SETS.split(", ")])
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(size, pa.int64()), _long(f1), _long(f2), pa.array(packed, pa.binary())], names=[x.split()[0] for x in SETS.split(", ")])
 
 
 class Bands:
@@ -195,17 +209,24 @@ def common_count(a: np.ndarray, b: np.ndarray) -> int:
     return int((a[at] == b).sum()) if len(a) else 0
 
 
-def may_link(size_a, size_b, bits_a: np.ndarray, bits_b: np.ndarray, threshold: Fraction) -> np.ndarray:
-    """Pairs that the sizes and the bitmaps do not rule out: common <= (|A| + |B| - differing bits) / 2."""
+def may_link(size_a, size_b, apart, threshold: Fraction) -> np.ndarray:
+    """Pairs that sizes and differing bits do not rule out: common <= (|A| + |B| - differing bits) / 2."""
     p, q = threshold.numerator, threshold.denominator
-    apart = np.bitwise_count(bits_a ^ bits_b).sum(-1).astype(np.int64)
     most = (size_a + size_b - apart) // 2
     return (np.minimum(size_a, size_b) * q >= p * np.maximum(size_a, size_b)) & (q * most >= p * (size_a + size_b - most))
 
 
-def _signatures(column: pa.Array) -> np.ndarray:
-    column = column.cast(pa.binary(BITS // 8))
-    return np.frombuffer(column.buffers()[1], np.uint64, len(column) * BITS // 64, column.offset * BITS // 8).reshape(-1, BITS // 64)
+def signatures(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
+def differing(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Differing bits of each pair of signatures, at the shorter one's length."""
+    out = np.zeros(len(a), np.int64)
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        words = min(len(x), len(y))
+        out[i] = np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()
+    return out
 
 
 def across(threshold: Fraction, block: int = 512):
@@ -215,35 +236,36 @@ def across(threshold: Fraction, block: int = 512):
     members is one row a member of it.
     """
 
+    def pairs(rep, comp, size, bits, new: int) -> Iterator[pa.RecordBatch]:
+        words = min(map(len, bits))
+        table = np.stack([folded(x, words) for x in bits])
+        for low in range(new, len(rep), block):
+            high = min(len(rep), low + block)
+            for left in range(0, high, block):
+                i, j = np.nonzero(comp[left : min(high, left + block), None] != comp[None, low:high])
+                i, j = i + left, j + low
+                ok = i < j
+                i, j = i[ok], j[ok]
+                apart = np.concatenate([np.bitwise_count(table[i[k : k + 4096]] ^ table[j[k : k + 4096]]).sum(-1).astype(np.int64) for k in range(0, len(i), 4096)] or [np.zeros(0, np.int64)])
+                ok = may_link(size[i], size[j], apart, threshold)
+                i, j = i[ok], j[ok]
+                if len(i):
+                    yield pa.record_batch([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        last_key, held = None, None
         for batch in batches:
             key = batch.column(0).to_numpy()
-            rep, comp, size, bits = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy(), _signatures(batch.column(4))
-            if held is not None and held[0][0] == key[0]:
-                key, rep, comp, size, bits = (np.concatenate([x, y]) for x, y in zip(held[:5], (key, rep, comp, size, bits), strict=True))
-                old = len(held[0])
-            else:
-                old = 0
-            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            rep, comp, size, bits = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy(), signatures(batch.column(4))
+            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist() if len(key) else []
             for start, end in zip(edge, [*edge[1:], len(key)], strict=True):
-                if end - start < 2 or (comp[start:end] == comp[start]).all():
-                    continue
-                new = max(start, old)
-                for low in range(new, end, block):
-                    high = min(end, low + block)
-                    for left in range(start, high, block):
-                        right = min(high, left + block)
-                        i, j = np.nonzero(comp[left:right, None] != comp[None, low:high])
-                        i, j = i + left, j + low
-                        ok = i < j
-                        i, j = i[ok], j[ok]
-                        ok = may_link(size[i], size[j], bits[i], bits[j], threshold)
-                        i, j = i[ok], j[ok]
-                        if len(i):
-                            yield pa.record_batch([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
-            last = edge[-1]
-            held = tuple(x[last:] for x in (key, rep, comp, size, bits))
+                tile, old = (rep[start:end], comp[start:end], size[start:end], bits[start:end]), 0
+                if held is not None and key[start] == last_key:
+                    old = len(held[0])
+                    tile = (*(np.concatenate([x, y]) for x, y in zip(held[:3], tile[:3], strict=True)), held[3] + tile[3])
+                if len(tile[0]) > 1 and (tile[1] != tile[1][0]).any():
+                    yield from pairs(*tile, old)
+                last_key, held = key[start], tile
 
     return search
 
@@ -269,12 +291,12 @@ def checker(threshold: Fraction):
 
 def verified(pairs: DataFrame, texts: DataFrame, known: DataFrame, threshold: Fraction, name: str) -> DataFrame:
     """The distinct candidate pairs (a < b) that link; each pair meets its bitmaps first, then its sets."""
-    facts = known.select("uid", "n_shingles", "bitmap")
-    side = lambda x: facts.select(F.col("uid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bitmap").alias(f"bits_{x}"))
+    side = lambda x: known.select(F.col("uid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bitmap").alias(f"bits_{x}"))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = may_link(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), _signatures(batch.column("bits_a")), _signatures(batch.column("bits_b")), threshold)
+            apart = differing(signatures(batch.column("bits_a")), signatures(batch.column("bits_b")))
+            ok = may_link(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), apart, threshold)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     left = common.stored(pairs.distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(bound, "a long, b long"), f"{name}-bounded")
@@ -294,7 +316,7 @@ def classes(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD) -> Dat
     group = ["n_shingles", "f1", "f2"]
     real = facts.where("n_shingles > 0")
     reps = real.groupBy(group).agg(F.min("uid").alias("rep"))
-    member = common.stored(real.join(reps, group).select("uid", "doc_id", "rep"), "op10-members")
+    member = common.stored(real.join(reps, group).select("uid", "doc_id", "rep", "n_shingles"), "op10-members")
     known = facts.join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi")
     known = common.stored(known, "op10-known")
     # tiles
@@ -303,11 +325,12 @@ def classes(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD) -> Dat
     tiles = plain.mapInArrow(entries(bands), ENTRY).repartition(parts, "key").sortWithinPartitions("key", "uid").mapInArrow(shared, ENTRY + ", pivot long")
     tiles = common.stored(tiles, "op10-tiles")
     # stars: every member with its tile's first
-    rep_of = lambda x: member.select(F.col("uid").alias(x), F.col("rep").alias(f"rep_{x}"))
+    rep_of = lambda x: member.select(F.col("uid").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n_shingles").alias(f"n_{x}"))
     stars = tiles.where("uid <> pivot").select("uid", "pivot").distinct().join(rep_of("uid"), "uid").join(rep_of("pivot"), "pivot").where("rep_uid <> rep_pivot")
     stars = common.stored(stars, "op10-stars")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    links = common.stored(verified(stars.select(*pair("rep_uid", "rep_pivot")), plain, known, threshold, "op10-star"), "op10-links")
+    alike = stars.where(F.least("n_uid", "n_pivot") * threshold.denominator >= F.greatest("n_uid", "n_pivot") * threshold.numerator)
+    links = common.stored(verified(alike.select(*pair("rep_uid", "rep_pivot")), plain, known, threshold, "op10-star"), "op10-links")
     linked = common.stored(common.connected(links, "op10-star"), "op10-comps")
     comp_of = lambda x: linked.select(F.col("node").alias(x), F.col("component").alias(f"comp_{x}"))
     # the tiles that still hold several components are those with a star pair across components
