@@ -102,7 +102,8 @@ def suffix_array(text: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.nd
     while step < depth:
         now = ranks[-1]
         after = np.full(n, -1, np.int64)
-        after[: n - step] = now[step:] if step < n else []
+        if step < n:
+            after[: n - step] = now[step:]
         both = now * (now.max() + 2) + after + 1
         ranks.append(np.unique(both, return_inverse=True)[1].astype(np.int64))
         step *= 2
@@ -127,29 +128,28 @@ def adjacent_lcp(order: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def previous_factors(order: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def previous_factors(order: np.ndarray, lcp: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """For every text place the length of the longest factor that also starts earlier, and that earlier place.
 
     The earlier places that share most with a suffix are the previous and the next smaller position
-    in suffix order; both are found for all suffixes together by jumping along pointers.
+    in suffix order; both are found for all suffixes together by jumping along pointers.  A search ends
+    where less than ``least`` is shared; lengths below it count as 0.
     """
     n = len(order)
     length, source = np.zeros(n, np.int64), np.full(n, -1, np.int64)
     place = np.concatenate([order, [-1]])  # the sentinel is smaller than every place
     for side in (-1, 1):
-        to = np.arange(n) + side
+        to = np.arange(n + 1) + side
+        to[n] = n
         to[to < 0] = n
-        to[to > n - 1] = n
-        near = lcp.copy() if side < 0 else np.concatenate([lcp[1:], [0]]) if n else lcp
-        to, near = np.append(to, n), np.append(near, 0)
-        while True:
-            more = place[to] > place
-            more[n] = False
-            if not more.any():
-                break
-            near[more] = np.minimum(near[more], near[to[more]])
-            to[more] = to[to[more]]
-        better = near[:n] > length[order]
+        near = np.append(lcp if side < 0 else np.append(lcp[1:], 0)[:n], 0)
+        active = np.flatnonzero((near >= least) & (place[to] > place))
+        while len(active):
+            ahead = to[active]
+            near[active] = np.minimum(near[active], near[ahead])
+            to[active] = to[ahead]
+            active = active[(near[active] >= least) & (place[to[active]] > place[active])]
+        better = (near[:n] >= least) & (near[:n] > length[order]) & (place[to[:n]] < order) & (to[:n] < n)
         length[order[better]] = near[:n][better]
         source[order[better]] = place[to[:n][better]]
     return length, source
@@ -167,7 +167,7 @@ def repeated_windows(contexts: list[tuple[int, bytes]], length: int, keep_first:
     ends = begin[1:] - 1
     group[ends] = np.arange(len(ends)) + (group.max() + 1)
     order, ranks = suffix_array(text, group, length)
-    longest, source = previous_factors(order, adjacent_lcp(order, ranks))
+    longest, source = previous_factors(order, adjacent_lcp(order, ranks), length)
     later = longest >= length
     hit = later.copy()
     if not keep_first:
