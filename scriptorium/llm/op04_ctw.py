@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DEPTH, STRINGS, WORDS = 5, 1_000_000, 1_500_000
+DEPTH, STRINGS, WORDS = 5, 400_000, 800_000
 FOLDS, HELD = 5, 1
 END = 10
 #: Distinct byte strings that a task holds before it hands them on.
@@ -131,21 +131,20 @@ class Tree:
     def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
         self.nodes, zeros, ones = [], [], []
         for grams, n in tables:
-            node, z, o = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for k in range(8):
-                byte = grams & np.uint64(255)
-                key = (grams & ~np.uint64(255)) | (np.uint64(1 << k) | byte >> np.uint64(8 - k) if k else np.uint64(1))
-                bit = (byte >> np.uint64(7 - k)) & np.uint64(1)
-                distinct, back = np.unique(key, return_inverse=True)
-                node = np.concatenate([node, distinct])
-                z = np.concatenate([z, np.bincount(back, weights=n * (bit == 0), minlength=len(distinct)).astype(np.int64)])
-                o = np.concatenate([o, np.bincount(back, weights=n * (bit == 1), minlength=len(distinct)).astype(np.int64)])
-            order = np.argsort(node)
-            self.nodes.append(node[order])
-            zeros.append(z[order])
-            ones.append(o[order])
+            byte, head = grams & np.uint64(255), grams & ~np.uint64(255)
+            found = []
+            for k in range(8):  # a node's strings are neighbours, as strings are sorted
+                key = head | (np.uint64(1 << k) | byte >> np.uint64(8 - k) if k else np.uint64(1))
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+                bit = ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(np.int64)
+                sums = [np.add.reduceat(x, first) if len(first) else x for x in (n * (1 - bit), n * bit)]
+                found.append((key[first], *sums))
+            order = np.argsort(np.concatenate([f[0] for f in found]))
+            for store, i in ((self.nodes, 0), (zeros, 1), (ones, 2)):
+                store.append(np.concatenate([f[i] for f in found])[order])
+            del found, order
         depth = len(tables) - 1
-        parent = [None] + [np.searchsorted(self.nodes[d - 1], self.nodes[d] & np.uint64((1 << 8 * d) - 1)) for d in range(1, depth + 1)]
+        parent = [None] + [np.searchsorted(self.nodes[d - 1], self.nodes[d] & np.uint64((1 << 8 * d) - 1)).astype(np.int32) for d in range(1, depth + 1)]
         # from the longest contexts up: the mixture of each node, and the weight of stopping there
         stop = [np.ones(len(x)) for x in self.nodes]
         mixed = block_estimate(zeros[depth], ones[depth]) if len(self.nodes[depth]) else np.zeros(0)
@@ -162,6 +161,7 @@ class Tree:
             own = (ones[d] + 0.5) / (zeros[d] + ones[d] + 1.0)
             self.chance.append((added + left * own).astype(np.float32))
             added, left = added + left * stop[d] * own, left * (1 - stop[d])
+            zeros[d] = ones[d] = stop[d] = parent[d] = None
         self.known, _ = tables[-1] if tables else (np.zeros(0, np.uint64), None)
         self.cost = self._walk(self.known).astype(np.float32)
 
