@@ -74,7 +74,8 @@ def by_line(c: Column, change) -> Column:
 def score(c: Column) -> Column:
     """Letters among the characters that are neither space nor line end; 0 for none."""
     c = filled(c)
-    return F.coalesce(F.least(letters(c) / F.nullif(F.length(F.translate(c, " \n", "")), F.lit(0)), F.lit(1.0)), F.lit(0.0))
+    size = F.length(F.translate(c, " \n", ""))
+    return F.when(size > 0, F.least(letters(c) / F.greatest(size, F.lit(1)), F.lit(1.0))).otherwise(F.lit(0.0))
 
 
 def capitalised(c: Column, before: str) -> Column:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptorium.functions import rules
 from scriptorium.functions.text import NUMBER_BOUNDARIES, SINGLE_SPACES, STANDALONE_I, Rules, blank, by_line, capitalised, filled, fold, fold_where_any, let, letter_share, lines, stripped, sub, title_word, words
@@ -194,11 +196,14 @@ def letter_parts(text: str) -> list[str]:
     return out
 
 
-def letter_paragraphs(c: Column) -> Column:
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: letter_parts(t or ""))
+def letter_paragraphs(df: DataFrame, text: str, parts: str) -> DataFrame:
+    """``df`` with the paragraphs of its column ``text``; an operator of its own, so Python stays out of SQL lambdas."""
 
-    return F.pandas_udf(run, "array<string>")(c)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(**{parts: [letter_parts(t or "") for t in batch[text]]})
+
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(parts, T.ArrayType(T.StringType()))]))
 
 
 def polished(paragraphs: Column) -> Column:
@@ -234,7 +239,7 @@ def processed(df, text: str = "text", vocabulary: tuple[str, ...] = ()):
     kind = F.when(blank(filled(F.col(text))), F.lit(None).cast("string")).otherwise(document_kind(F.col(text)))
     out = df.withColumn("doc_type", kind)
     notes = out.where("doc_type = 'notes'").withColumn("__parts", notes_paragraphs(notes_text(F.col(text))))
-    other = out.where("doc_type <> 'notes'").withColumn("__parts", letter_paragraphs(letter_text(F.col(text))))
+    other = letter_paragraphs(out.where("doc_type <> 'notes'").withColumn("__text", letter_text(F.col(text))), "__text", "__parts").drop("__text")
     empty = out.where("doc_type is null").withColumn("__parts", F.array().cast("array<string>"))
     out = notes.unionByName(other).unionByName(empty)
     out = out.withColumn("post_text", F.array_join(polished(F.col("__parts")), "\n\n")).drop("__parts")

@@ -46,13 +46,13 @@ def contrast_stretch(df: DataFrame, value: str = "val", low: float = 0.02, high:
     joined = df.join(F.broadcast(ends))  # one row
     spread = F.col("p")[1] - F.col("p")[0]
     to = F.least(F.greatest((F.col(value) - F.col("p")[0]) / F.nullif(spread, F.lit(0.0)) * 255, F.lit(0.0)), F.lit(255.0))
-    return joined.withColumn("stretched", F.coalesce(to, F.col(value).cast("double"))).drop("p")
+    return joined.withColumn("stretched", F.when(spread > 0, to).otherwise(F.col(value).cast("double"))).drop("p")
 
 
 def variation(df: DataFrame, keys: list[str], value: str = "val", most: float = 2.0) -> DataFrame:
     """(keys, cov): deviation over mean, at most ``most``, halved; 0.5 for fewer than ten values."""
     cov = F.least(F.stddev_pop(value) / F.nullif(F.avg(value), F.lit(0.0)), F.lit(most)) / most
-    return df.groupBy(*keys).agg(F.when(F.count(value) < 10, 0.5).otherwise(F.coalesce(cov, F.lit(0.5))).alias("cov"))
+    return df.groupBy(*keys).agg(F.when((F.count(value) < 10) | (F.avg(value) == 0), 0.5).otherwise(cov).alias("cov"))
 
 
 def box_variation(df: DataFrame, keys: list[str], height: str = "height", width: str = "width", page: str = "page_height") -> DataFrame:

@@ -62,7 +62,8 @@ def sql_sub(expr: str, *steps: tuple[str, str], flags: str = "g") -> str:
 
 
 def sql_score(t: str) -> str:
-    return f"coalesce(least(length({sql_sub(t, (r'[^\p{L}]', ''))})::double / nullif(length(replace(replace({t}, ' ', ''), chr(10), '')), 0), 1.0), 0.0)"
+    size = f"length(replace(replace({t}, ' ', ''), chr(10), ''))"
+    return f"CASE WHEN {size} > 0 THEN least(length({sql_sub(t, (r'[^\p{L}]', ''))})::double / {size}, 1.0) ELSE 0.0 END"
 
 
 def sql_words(t: str) -> str:
