@@ -107,7 +107,9 @@ def plan(rows: DataFrame) -> DataFrame:
     shard = lambda p: F.size(F.filter("ends", lambda e: e <= p.cast("long") * F.col("n") + F.col("nth")))
     draws = F.transform(F.sequence(F.lit(0), F.lit(MOST_PASSES)), lambda p: F.struct(p.alias("pass"), shard(p).alias("shard")))
     draws = F.filter(draws, lambda d: d["pass"] < F.col("passes") + F.col("extra"))
-    return laid.join(ends, KEY).select(KEY, "__block", "source_size", "target", "passes", "room", "words", "extra", draws.alias("draws"))
+    # names that no column of the documents has
+    known = [F.col(c).alias(f"__{c}") for c in ("source_size", "target", "passes", "room", "extra")]
+    return laid.join(ends, KEY).select(KEY, "__block", *known, draws.alias("__draws"))
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -115,19 +117,19 @@ def counted(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy(KEY, "__block").orderBy(F.xxhash64(F.lit(SEED + 2), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.join(plan(rows.select(KEY, "__block", "__size")), [KEY, "__block"])
     start = F.sum("__size").over(order) - F.col("__size")
-    more = F.when((F.col("extra") == 1) & (start + F.col("__size") / 2 <= F.col("room")), 1).otherwise(0)
-    return placed.withColumn("__copies", F.col("passes") + more)
+    more = F.when((F.col("__extra") == 1) & (start + F.col("__size") / 2 <= F.col("__room")), 1).otherwise(0)
+    return placed.withColumn("__copies", F.col("__passes") + more)
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed rows: every column of ``docs``, with copy, shard and the key that orders a shard's rows."""
     taken = counted(sized(docs)).where("__copies > 0")
-    drawn = taken.withColumn("__draw", F.explode(F.slice("draws", F.lit(1), F.col("__copies"))))
+    drawn = taken.withColumn("__draw", F.explode(F.slice("__draws", F.lit(1), F.col("__copies"))))
     return drawn.select(*docs.columns, F.col("__draw.pass").alias("copy"), F.col("__draw.shard").alias("shard"), F.xxhash64(F.lit(SEED + 3), F.col("__draw.pass"), "doc_id").alias("shuffle_key"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     rows = common.stored(sized(docs.select("doc_id", "text", "source")).select("doc_id", "__size", KEY, "__block"), "op1-sizes")
     return counted(rows).select(
-        "doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.col("__copies")).cast("long").alias("taken"), F.col("__copies").alias("copies")
+        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).cast("long").alias("taken"), F.col("__copies").alias("copies")
     )
