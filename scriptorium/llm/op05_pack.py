@@ -134,16 +134,22 @@ def best_two(counts: np.ndarray, gap: int) -> tuple[int, int]:
     return (int(left[best]), int(second[best])) if total[best] else (0, 0)
 
 
-def fill(counts: np.ndarray, capacity: int) -> list[int]:
-    """The lengths of one bin: greedy, longest first, then best-two-fit; counts are used up."""
-    bin_, gap = [], capacity
+def greedy(counts: np.ndarray, gap: int) -> tuple[list[int], int]:
+    """Lengths that fill a gap, the longest that fits first, and the gap that is left; counts are used up."""
+    taken: list[int] = []
     while gap > 0 and (left := np.flatnonzero(counts[: gap + 1])).size and left[-1]:
         size = int(left[-1])
         # a length that fits several times is taken as often as it fits
         times = min(int(counts[size]), gap // size)
-        bin_ += [size] * times
+        taken += [size] * times
         counts[size] -= times
         gap -= size * times
+    return taken, gap
+
+
+def fill(counts: np.ndarray, capacity: int) -> list[int]:
+    """The lengths of one bin: greedy, longest first, then best-two-fit; counts are used up."""
+    bin_, gap = greedy(counts, capacity)
     while gap > 0 and len(bin_) > 1:
         least = bin_[-1]
         one, two = best_two(counts, gap + least)
@@ -158,10 +164,36 @@ def fill(counts: np.ndarray, capacity: int) -> list[int]:
 
 
 def pack(histogram: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
-    """Bins as (lengths, times) that use every piece of the histogram once."""
-    counts = np.zeros(capacity + 1, np.int64)
+    """Bins as (lengths, times) that use every piece of the histogram once: the fewer of two ways.
+
+    Pieces of at most a sixth of the capacity either take part from the start or are held back until the
+    others are packed, then fill the gaps.
+    """
+    plain, held = _packed(histogram, capacity, 0), _packed(histogram, capacity, capacity // 6)
+    return min(plain, held, key=lambda bins: sum(times for _, times in bins))
+
+
+def _packed(histogram: dict[int, int], capacity: int, small: int) -> list[tuple[Counter, int]]:
+    counts, late = np.zeros(capacity + 1, np.int64), np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
-        counts[length] = n
+        (late if length <= small else counts)[length] = n
+    main = _filled(counts, capacity)
+    out = []
+    for bin_, times in main:
+        gap = capacity - sum(k * v for k, v in bin_.items())
+        while times:
+            more = Counter(greedy(late, gap)[0])
+            same = times - 1
+            if more:  # the same filling again, for as many of these bins as it suffices for
+                lengths, each = np.array(list(more)), np.array(list(more.values()))
+                same = min(same, int((late[lengths] // each).min()))
+                late[lengths] -= same * each
+            out.append((bin_ + more, 1 + same))
+            times -= 1 + same
+    return out + _filled(late, capacity)
+
+
+def _filled(counts: np.ndarray, capacity: int) -> list[tuple[Counter, int]]:
     out = []
     while counts.any():
         bin_ = Counter(fill(counts, capacity))
