@@ -299,7 +299,10 @@ def fit(texts: list[str], toxic: list[int]) -> Machine:
     a = np.array([df[1][words[i]] for i in used], float)
     b = np.array([df[0][words[i]] for i in used], float) * n[1] / n[0]
     surplus = np.maximum(0, a - b)
-    beta, bias = _solve(x, surplus * (a >= 3 * b) + 1e-6, b + np.minimum(a, b) + 1e-6)
+    # the words far from every landmark are one harmless row of zeros
+    plus, minus = surplus * (a >= 3 * b), b + np.minimum(a, b)
+    far = float(max(len(words) - len(used), 1))
+    beta, bias = _solve(np.vstack([x, np.zeros((1, x.shape[1]), np.float32)]), np.append(plus, 0) + 1e-6, np.append(minus, far) + 1e-6)
     machine.weights, machine.bias = root @ beta, min(bias, 0.0)
     scorer = Scorer(machine)
     top = scorer.tops(pa.array(texts, pa.string()))
