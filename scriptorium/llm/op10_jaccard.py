@@ -14,7 +14,7 @@ the differing bits are no more than the differing elements, so the common count
 (|A| + |B| - differing bits) / 2.  Pairs that pass are intersected exactly as sorted arrays.
 
 Sets that are equal collapse to one representative first.  A tile first links its members to one
-member (a star, never all pairs); once these verified links have joined components, a tile is searched
+member (a star, never all pairs), then to STARS others; once these verified links have joined components, a tile is searched
 again only for pairs whose ends lie in different components, so groups of near copies cost a multiple
 of their size.  Tiles are read as sorted runs, in blocks, and never held whole.
 
@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from . import common
 
 N, THRESHOLD = 5, Fraction(4, 5)
+#: Further members of each open tile that its others are compared with before all remaining pairs are.
+STARS = 2
 #: Bits of the shortest signature.
 BITS = 256
 ROWS_EACH = 2_000_000
@@ -332,14 +334,25 @@ def classes(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD) -> Dat
     alike = stars.where(F.least("n_uid", "n_pivot") * threshold.denominator >= F.greatest("n_uid", "n_pivot") * threshold.numerator)
     links = common.stored(verified(alike.select(*pair("rep_uid", "rep_pivot")), plain, known, threshold, "op10-star"), "op10-links")
     linked = common.stored(common.connected(links, "op10-star"), "op10-comps")
-    comp_of = lambda x: linked.select(F.col("node").alias(x), F.col("component").alias(f"comp_{x}"))
+    comp_of = lambda x, comps: comps.select(F.col("node").alias(x), F.col("component").alias(f"comp_{x}"))
     # the tiles that still hold several components are those with a star pair across components
-    apart = stars.join(comp_of("rep_uid"), "rep_uid", "left").join(comp_of("rep_pivot"), "rep_pivot", "left")
+    apart = stars.join(comp_of("rep_uid", linked), "rep_uid", "left").join(comp_of("rep_pivot", linked), "rep_pivot", "left")
     apart = apart.where(F.coalesce("comp_rep_uid", "rep_uid") != F.coalesce("comp_rep_pivot", "rep_pivot")).select("uid", "pivot")
     keys = common.stored(tiles.join(apart, ["uid", "pivot"], "left_semi").select("key").distinct(), "op10-open")
-    held = tiles.select("key", "uid").join(keys, "key", "left_semi").join(rep_of("uid"), "uid").select("key", F.col("rep_uid").alias("rep")).distinct()
-    held = held.join(comp_of("rep"), "rep", "left").withColumn("comp", F.coalesce("comp_rep", "rep"))
-    open_ = held.join(known.select(F.col("uid").alias("rep"), "n_shingles", "bitmap"), "rep").select("key", "rep", "comp", "n_shingles", "bitmap")
+    held = tiles.select("key", "uid").join(keys, "key", "left_semi").join(rep_of("uid"), "uid").select("key", F.col("rep_uid").alias("rep"), F.col("n_uid").alias("n")).distinct()
+    held = common.stored(held, "op10-held")
+    # more stars, each from another member of a tile, join what one member of it doesn't link with
+    for turn in range(STARS):
+        placed = held.join(comp_of("rep", linked), "rep", "left").withColumn("comp", F.coalesce("comp_rep", "rep"))
+        chosen = F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), F.col("rep").alias("pivot"), F.col("n").alias("n_pivot"), F.col("comp").alias("comp_pivot"))
+        pivots = placed.groupBy("key").agg(F.min(chosen).alias("p")).select("key", "p.*")
+        more = placed.join(pivots, "key").where("comp <> comp_pivot")
+        more = more.where(F.least("n", "n_pivot") * threshold.denominator >= F.greatest("n", "n_pivot") * threshold.numerator).select(*pair("rep", "pivot"))
+        links = common.stored(links.union(verified(more, plain, known, threshold, "op10-star")), "op10-links")
+        linked = common.stored(common.connected(links, "op10-star"), "op10-comps")
+    # every pair that is left between components of a tile
+    open_ = held.join(comp_of("rep", linked), "rep", "left").withColumn("comp", F.coalesce("comp_rep", "rep"))
+    open_ = open_.join(known.select(F.col("uid").alias("rep"), "n_shingles", "bitmap"), "rep").select("key", "rep", "comp", "n_shingles", "bitmap")
     open_ = open_.repartition(parts, "key").sortWithinPartitions("key", "rep")
     rest = verified(open_.mapInArrow(across(threshold), "a long, b long"), plain, known, threshold, "op10-rest")
     all_links = common.stored(links.union(rest), "op10-links")
