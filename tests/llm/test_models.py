@@ -95,6 +95,51 @@ def test_tree_sums_to_one():
     assert math.isclose((10 ** tree.costs(context | np.arange(256, dtype=np.uint64))).sum(), 1, rel_tol=1e-5)
 
 
+def test_scores_of_the_whole_tree(spark, tmp_path, prose, monkeypatch):
+    """Every string of the corpus is in the tree: scores by brute force, bit by bit, over all contexts; several blocks and shards."""
+    monkeypatch.setattr(op04_ctw, "BLOCK", 4096)
+    rows = [r for r in prose if r[0] != 903][:120] + [(901, "", None, None, "x", "u")]
+    got = {r.doc_id: r.score for r in op04_ctw.report(store(spark, tmp_path, rows)).collect()}
+
+    def bits(text):
+        data = b"\n" * op04_ctw.DEPTH + b"".join(t.encode() + b" " for t in re.findall(r"[^\x20\x09-\x0d]+", text or "")) + b"\n"
+        for i in range(op04_ctw.DEPTH, len(data)):
+            for k in range(8):
+                yield data[i - op04_ctw.DEPTH : i], (1 << k) | data[i] >> (8 - k), data[i] >> (7 - k) & 1
+
+    counts = {}
+    for r in rows:
+        if zlib.crc32(str(r[0]).encode()) % 5 != 1:
+            for context, place, bit in bits(r[1].lower()):
+                for d in range(op04_ctw.DEPTH + 1):
+                    counts.setdefault((context[op04_ctw.DEPTH - d :], place), [0, 0])[bit] += 1
+    lg = math.lgamma
+    own = {node: lg(a + 0.5) + lg(b + 0.5) - 2 * lg(0.5) - lg(a + b + 1) for node, (a, b) in counts.items()}
+    below, stop = Counter(), {}
+    for node in sorted(counts, key=lambda x: -len(x[0])):
+        if len(node[0]) == op04_ctw.DEPTH:
+            mixed, stop[node] = own[node], 1.0
+        else:
+            gap = below[node] - own[node]
+            stop[node] = 1 / (1 + math.exp(min(gap, 700)))
+            mixed = max(own[node], below[node]) + math.log1p(math.exp(-abs(gap))) + math.log(0.5)
+        if node[0]:
+            below[node[0][1:], node[1]] += mixed
+    for r in rows[::7]:
+        total = 0.0
+        for context, place, bit in bits((r[1] or "").lower()):
+            added, left, chance = 0.0, 1.0, 0.5
+            for d in range(op04_ctw.DEPTH + 1):
+                node = context[op04_ctw.DEPTH - d :], place
+                if node not in counts:
+                    break
+                one = (counts[node][1] + 0.5) / (sum(counts[node]) + 1)
+                chance = added + left * one
+                added, left = added + left * stop[node] * one, left * (1 - stop[node])
+            total += math.log10(chance if bit else 1 - chance)
+        assert math.isclose(got[r[0]], total, rel_tol=1e-4), r[0]
+
+
 TEXT = "mail a.b@c.example.org or x@y, ip 10.0.0.300 10.1.2.3 card 4111 1111 1111 1111 and 4111-1111-1111-1112 tel +1 (968) 555-9369 ä +12 call 555-123-4567 now"
 PATTERNS = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
