@@ -140,6 +140,26 @@ def test_scores_of_the_whole_tree(spark, tmp_path, prose, monkeypatch):
         assert math.isclose(got[r[0]], total, rel_tol=1e-4), r[0]
 
 
+def test_weights_count_every_child():
+    """Shards that meet in the top nodes give the uncut tree's costs, however many strings a node has below it."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    grams = op04_ctw.strings(pa.array(["".join(rng.choice(list("abcdefgh"), 4000))]))[0]
+    keys, n = np.unique(grams, return_counts=True)
+    whole, shard = op04_ctw.Tree([(keys, n)]), op04_ctw.shard_of(keys.view(np.int64), 3)
+    ups = []
+    for k in range(3):
+        levels = op04_ctw.longer(keys[shard == k], n[shard == k])
+        ups.append(op04_ctw.upward(levels[0], op04_ctw.climb(levels, op04_ctw.TOP + 1)[2]))
+    node, back = np.unique(np.concatenate([u[0] for u in ups]), return_inverse=True)
+    zeros, ones, below = (np.bincount(back, weights=np.concatenate([u[i] for u in ups])) for i in (1, 2, 3))
+    top = op04_ctw.Top(node, zeros.astype(np.int64), ones.astype(np.int64), below)
+    for k in range(3):
+        part = op04_ctw.Tree([(keys[shard == k], n[shard == k])], top)
+        assert np.allclose(part.costs(keys[shard == k]), whole.costs(keys)[shard == k], rtol=1e-5)
+
+
 TEXT = "mail a.b@c.example.org or x@y, ip 10.0.0.300 10.1.2.3 card 4111 1111 1111 1111 and 4111-1111-1111-1112 tel +1 (968) 555-9369 ä +12 call 555-123-4567 now"
 PATTERNS = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
