@@ -4,8 +4,8 @@ The base patterns find e-mail addresses, IP addresses, card numbers and internat
 their contract says.  The random field finds what they miss (phone numbers without a country code,
 spelt-out addresses): words are tagged with a kind or none from hashed shape features of the word and
 its neighbours, trained by gradient steps on the small labelled table below, and decoded by Viterbi over
-numpy batches of sequences.  A word without digits and signs, and with no such word near, is tagged none
-without decoding: training never shows such words inside personal data.
+numpy batches of sequences.  A word without digits, signs and a spelt-out at, and with no such word near, is
+tagged none without decoding: every kind's words in the training table stand that near to one.
 
 Defined cases: null and empty texts have no spans; a match that fails its check is dropped and its text is
 not searched again; spans that the field adds never overlap a base span; other columns are never read.
@@ -220,12 +220,23 @@ _sign = np.zeros(256, bool)
 _sign[[*range(48, 58), ord("@"), ord("+")]] = True
 
 
+#: A spelt-out at in brackets, any case.
+_spelt = re.compile(rb"[(\[{<]at[)\]}>]", re.IGNORECASE)
+
+
+def marked(data: np.ndarray) -> np.ndarray:
+    """Which bytes make a word worth decoding: digits, signs, and the first byte of a spelt-out at."""
+    out = _sign[data]
+    out[[m.start() for m in _spelt.finditer(data.tobytes())]] = True
+    return out
+
+
 def windows(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(document, starts, ends) of the word runs near a word with a digit or sign."""
+    """(document, starts, ends) of the word runs near a word with a digit, sign or spelt-out at."""
     starts, ends, doc = common.words_of(data, offsets)
     if not len(starts):
         return []
-    marks = np.concatenate([[0], np.cumsum(_sign[data])])
+    marks = np.concatenate([[0], np.cumsum(marked(data))])
     odd = np.flatnonzero(marks[ends] > marks[starts])
     near = np.zeros(len(starts), bool)
     for step in range(-AROUND, AROUND + 1):
@@ -246,6 +257,8 @@ def _plausible(kind: int, text: str) -> bool:
         return 9 <= digits <= 15 and bool(re.fullmatch(r"[+(]*[0-9][0-9 ().-]*", text))
     if kind == 2:
         return 12 <= digits <= 19 and luhn("".join(c for c in text if c in "0123456789"))
+    if kind == 0 and text.strip("([{<>}])").lower() == "at":
+        return False
     return "at" in text.lower() or "@" in text if kind == 0 else text.count(".") >= 3
 
 
@@ -261,6 +274,10 @@ def added_spans(field: Field, column: pa.Array) -> dict[int, list[tuple[int, int
     for (doc, start, end), run, tag in zip(runs, words, tags, strict=True):
         # a word without a digit is no part of a number, whatever its neighbours are
         tag = np.where((tag > 1) & ~np.array([any(c in "0123456789" for c in w) for w in run]), 0, tag)
+        # an address whose spelt-out at stands alone is tagged whole if any of its words is
+        for k in range(1, len(run) - 1):
+            if _spelt.fullmatch(run[k].encode()) and DOMAIN.match(run[k + 1]) and (tag[k - 1 : k + 2] == 1).any():
+                tag[k - 1 : k + 2] = 1
         i = 0
         while i < len(run):
             j = i + 1
@@ -286,7 +303,7 @@ def finder(field):
         nothing = hashlib.sha256(b"").hexdigest()
         for batch in common.slices(batches, "text"):
             data, offsets = common.text_bytes(batch.column(1))
-            marks = np.concatenate([[0], np.cumsum(_sign[data])])
+            marks = np.concatenate([[0], np.cumsum(marked(data))])
             some = marks[offsets[1:]] > marks[offsets[:-1]]
             more = added_spans(field.value, batch.column(1))
             counts = np.zeros((batch.num_rows, len(KINDS)), np.int64)

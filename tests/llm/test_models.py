@@ -184,6 +184,16 @@ def test_personal_data(spark, tmp_path):
     assert got[6].spans == ""
 
 
+def test_spelt_out_addresses(spark, tmp_path):
+    texts = ["for help contact jane (at) example.com", "email max[at]example.net today", "please write to anna (AT) mail.example.org soon", "é contact bob[At]corp.example for help", "the meeting (at) noon was long"]
+    rows = [(i, t, None, None, None, None) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in op07_pii.report(store(spark, tmp_path, rows)).collect()}
+    for i, address in enumerate(["jane (at) example.com", "max[at]example.net", "anna (AT) mail.example.org", "bob[At]corp.example"]):
+        start = texts[i].index(address)
+        assert got[i].spans == f"email:{start}:{start + len(address)}" and got[i].n_email == 0
+    assert got[4].spans == ""
+
+
 def test_field_learns_its_table():
     field = op07_pii.Field().train()
     table = op07_pii.labelled()
