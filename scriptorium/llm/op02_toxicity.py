@@ -115,7 +115,9 @@ class Machine:
         self.landmarks, self.weights, self.bias, self.curve, self.constant = landmarks, weights, bias, curve, constant
         self.codes, self.length = coded(landmarks)
         self.mask = masks(self.codes, 1)
-        self.need = np.maximum(2, np.ceil(0.75 * np.bitwise_count(self.mask).sum(1))).astype(np.int64)
+        pairs = np.bitwise_count(self.mask).sum(1).astype(np.int64)
+        # a replaced inner letter costs two pairs, whatever the landmark's length
+        self.need = np.maximum(1, np.minimum(np.ceil(0.75 * pairs).astype(np.int64), pairs - 2))
         self.own = np.sqrt(np.maximum(kernel_pairs(self.codes, self.codes), 1e-30)) if landmarks else np.zeros(0)
 
     def near(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

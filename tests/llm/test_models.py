@@ -67,6 +67,17 @@ def test_kernel():
     assert np.allclose(op02_toxicity.kernel_pairs(a, b), [direct(*p) for p in pairs], rtol=1e-5)
 
 
+def test_disguised_letters_are_compared():
+    landmarks = ["scum", "idiot", "trash", "loser", "stupid"]
+    machine = op02_toxicity.Machine(landmarks, np.ones(len(landmarks)), -1.0, np.zeros(1))
+    for j, word in enumerate(landmarks):
+        for i in range(1, len(word) - 1):
+            forms = [word[:i] + "*" + word[i + 1 :], word[:i] + "v" + word[i + 1 :], word[:i] + word[i + 1] + word[i] + word[i + 2 :]]
+            row, col, value = machine.near(op02_toxicity.letters(forms))
+            met = {int(r): v for r, c, v in zip(row, col, value, strict=True) if c == j}
+            assert set(met) == {0, 1, 2} and min(met.values()) > 0, (word, forms)
+
+
 @pytest.mark.parametrize("known", [1_500_000, 3])
 def test_scores(spark, tmp_path, prose, monkeypatch, known):
     monkeypatch.setattr(op04_ctw, "WORDS", known)
