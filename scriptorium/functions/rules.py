@@ -279,3 +279,25 @@ ENTITY = {
     "currency": r"([$€£¥₹])\s?\d[\d,]*(?:\.\d{1,2})?|\d[\d,]*(?:\.\d{1,2})?\s*(?:USD|EUR|GBP|JPY|INR)",
     "zipcode": r"\b(\d{6}|\d{5}(?:-\d{4})?)\b",
 }
+
+#: The dictionary corrector's default vocabulary.
+COMMON_WORDS = tuple(
+    """
+    a ability able about above absolutely accept across actually add address after again against age ago agree ahead all allow almost alone
+    along already also although always am amazing among and another any anyone anything anyway are area around as ask at away back bad balloons
+    banner be because been before behind being believe below bengaluru beside best better between big birthday both bring but buy by call came
+    can care carry case cause celebrate celebration change check child children chocolate city close closing come complete concern consider
+    could country course dancing date dear decorated definitely delhi do does done down during each early easy either end enjoy enough even
+    evening every everyone everything fact faithfully family far favorite feel few find fine first flat follow for format friend from front full
+    fun get gifts give glad go going gone good got great greetings group had hand hanging happy has have he hello help her here hi high him his
+    home hope hour house how however i idea if important in include indeed india informal inside instead into is it its itself job just keep
+    kind know large last late later least leave let letter life light lights like little live long look lot lots love made make many may maybe
+    me mean meet might miss missed more most much mumbai music must my name need never new next nice night no not nothing now of off often old
+    on once only open or orchid other our out over own paragraph part party people person pictures piece pincode place plan please point
+    possible put read really regards residency road room run said salutation same save saved say school see seem send sent she show since
+    sincerely small smartwatch so some something soon speak start stay still stop study such sure take talk than thank that the their them then
+    there these they thing think this those though through time to today together told too took touch toward truly try under until up use very
+    visit wait want warmly was watch way we week well went were what when where which while who whole will wish with without work world would
+    write year yet you your yours
+    """.split()
+)

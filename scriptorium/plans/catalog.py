@@ -399,7 +399,7 @@ def edit_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dictionary_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fix = fuzzy.corrector(("order", "confirmed", "total", "date", "write", "sincerely", "yours", "call"))
+    fix = fuzzy.corrector(rules.COMMON_WORDS)
     return source(spark, sf_dir, "noisy").select("doc_id", fix(T()).alias("out"))
 
 
@@ -407,7 +407,7 @@ def dictionary_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corrected_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pipeline.reported(source(spark, sf_dir, "noisy"))
+    out = pipeline.reported(source(spark, sf_dir, "noisy"), vocabulary=rules.COMMON_WORDS)
     return out.select("doc_id", "output_kind", "final_text", "cleaned_quality", "target_met", "confidence_pct", F.to_json("raw_entities").alias("raw_entities"))
 
 

@@ -156,6 +156,16 @@ def test_processed(spark):
     assert got[3].post_text == "" and got[4].doc_type is None and got[4].paragraphs == [] and got[4].confidence == 0
 
 
+def test_corrected_letters_uses_the_vocabulary(spark, monkeypatch):
+    from scriptorium.plans import catalog
+
+    rows = spark.createDataFrame([(1, "we had celebraton 12 34 567 89 01 23 45 67 89 12 45 67 89 1234 5678")], "doc_id long, text string")
+    monkeypatch.setattr(catalog, "source", lambda *a: rows)
+    plain = pipeline.reported(rows).first().final_text
+    got = catalog.corrected_letters(spark, "").first().final_text
+    assert "celebration" not in plain.lower() and "celebration" in got.lower()
+
+
 def test_pipeline(spark):
     rows = spark.createDataFrame([(1, "hello wrold. see a@b.com\n\n$5 for it"), (2, "ok")], "doc_id long, text string")
     got = {r.doc_id: r for r in pipeline.reported(rows, vocabulary=("world", "hello")).collect()}
