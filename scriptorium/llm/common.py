@@ -30,11 +30,23 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or "/tmp/checkpoints/scriptorium").rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: later jobs reread it instead of recomputing it."""
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back: later jobs reread it instead of recomputing it.
+
+    While it is written, Python workers get ``rows`` rows at once at most, as suits the rows' width.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    if rows:
+        spark.conf.set(ARROW_ROWS, str(rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
 

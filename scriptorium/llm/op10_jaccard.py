@@ -9,14 +9,18 @@ the linked pairs is missed.  Empty segments are no keys: a document with few of
 common segment with every partner by count, and the rare others add keys for their empty segments.
 
 Within a tile a pair meets the size test, then the bitmap bound: of hashed bitmap signatures of both sets
-(a power of two of bits, about twice the set's size; a longer one is folded to a shorter one's length)
-the differing bits are no more than the differing elements, so the common count is bounded from above by
-(|A| + |B| - differing bits) / 2.  Pairs that pass are intersected exactly as sorted arrays.
-
-Sets that are equal collapse to one representative first.  A tile first links its members to one
-member (a star, never all pairs), then to STARS others; once these verified links have joined components, a tile is searched
-again only for pairs whose ends lie in different components, so groups of near copies cost a multiple
-of their size.  Tiles are read as sorted runs, in blocks, and never held whole.
+(a power of two of bits; a longer one is folded to a shorter one's length) the differing bits are no more
+than the differing elements, so the common count is bounded from above by (|A| + |B| - differing bits) / 2.
+A tile's members first meet at about COARSE bits an element; those that have a possible partner meet
+again at SHARP bits an element, where hardly a pair passes that doesn't link.  Pairs that pass are
+intersected exactly as sorted arrays.
+
+Sets that are equal collapse to one representative first.  A tile first links its members to one member,
+in each slice of the scan to the slice's first, and the slices' firsts to the least of them, so a tile
+that a third of all rows share is met as one row a slice.  Once these verified links have joined
+components, and once more after stars from another member, a tile is searched for pairs whose ends lie in
+different components.  Tiles with more rows or bytes than a chunk are cut into chunks by a hash, and each
+pair of chunks is a group of its own.
 
 Defined cases: null and word-less texts have empty sets and link with nothing; fewer words than a
 shingle give one shingle of all of them; repeated rows share a doc_id's class; an empty table gives an
@@ -31,6 +35,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +43,18 @@ from . import common
 
 N, THRESHOLD = 5, Fraction(4, 5)
 #: Further members of each open tile that its others are compared with before all remaining pairs are.
-STARS = 2
-#: Bits of the shortest signature.
-BITS = 256
-ROWS_EACH = 2_000_000
-SETS = "uid long, doc_id long, n_shingles long, f1 long, f2 long, bitmap binary"
-ENTRY = "key long, uid long"
+STARS = 1
+#: Bits of the shortest signature, and at least this many an element (a power of two more at most).
+BITS, COARSE, SHARP = 256, 1.5, 8.0
+#: Rows and signature bytes of a tile that are compared at once.
+CHUNK_ROWS, CHUNK_BYTES = 2048, 8 << 20
+ROWS_EACH = 1_000_000
+#: Bytes of text whose sets are built at once.
+SLICE = 1 << 20
+#: Rows with texts or signatures that go to Python at once.
+WIDE_ROWS = 1000
+SETS = "uid long, doc_id long, n_shingles long, f1 long, f2 long, coarse binary, sharp binary"
+ENTRY = "key long, uid long, pivot long"
 
 
 def shingle_sets(text: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -83,29 +94,30 @@ def _long(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.uint64).view(np.int64), pa.int64())
 
 
-def signature(elements: np.ndarray) -> bytes:
-    """A bitmap of the elements' low bits; its length is the power of two from 1.5 to 3 times their number."""
-    width = max(BITS, 1 << int(np.ceil(np.log2(max(1.0, 1.5 * len(elements))))))
+def signature(elements: np.ndarray, each: float) -> bytes:
+    """A bitmap of the elements' low bits; its length is the power of two from ``each`` to twice that many bits an element."""
+    width = max(BITS, 1 << int(np.ceil(np.log2(max(1.0, each * len(elements))))))
     bits = np.zeros(width, bool)
     bits[(elements & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
 def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
-    """A signature at a shorter length: the signature that the same set has there."""
-    while len(bitmap) > words:
-        bitmap = bitmap[: len(bitmap) // 2] | bitmap[len(bitmap) // 2 :]
+    """Signatures (in the last axis) at a shorter length: those that the same sets have there."""
+    while bitmap.shape[-1] > words:
+        half = bitmap.shape[-1] // 2
+        bitmap = bitmap[..., :half] | bitmap[..., half:]
     return bitmap
 
 
 def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """uid, doc_id, text -> the set's size, 128-bit fingerprint and bitmap."""
-    for batch in common.slices(batches, "text"):
+    """uid, doc_id, text -> the set's size, 128-bit fingerprint and bitmaps."""
+    for batch in common.slices(batches, "text", SLICE):
         sets, offsets = shingle_sets(batch.column(2))
         size = np.diff(offsets)
-        packed = [signature(sets[i:j]) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+        packed = [pa.array([signature(sets[i:j], each) for i, j in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary()) for each in (COARSE, SHARP)]
         f1, f2 = _sums(common.mix(sets), offsets), _sums(common.mix(sets ^ np.uint64(0x5851F42D4C957F2D)), offsets)
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(size, pa.int64()), _long(f1), _long(f2), pa.array(packed, pa.binary())], names=[x.split()[0] for x in SETS.split(", ")])
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(size, pa.int64()), _long(f1), _long(f2), *packed], names=[x.split()[0] for x in SETS.split(", ")])
 
 
 class Bands:
@@ -160,10 +172,14 @@ def tile_keys(sets: np.ndarray, offsets: np.ndarray, bands: Bands, up: int) -> t
 
 
 def entries(bands: Bands):
-    """uid, text -> one row a key; equal sets of a batch are entered once, for their smallest uid."""
+    """uid, text -> rows (key, uid, pivot); equal sets of a slice are entered once, for their smallest uid.
+
+    Of the documents of a slice that share a key only the first meets other slices (pivot null); all of
+    them are joined to it by rows that need meet no others.
+    """
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", SLICE):
             sets, offsets = shingle_sets(batch.column(1))
             uid = batch.column(0).to_numpy()
             size = np.diff(offsets)
@@ -172,36 +188,45 @@ def entries(bands: Bands):
             _, first = np.unique(prints[order], axis=0, return_index=True)
             keep = np.zeros(len(size), bool)
             keep[order[first]] = True
-            for up in (0, 1):
-                key, doc = tile_keys(sets, offsets, bands, up)
-                ok = keep[doc]
-                key, doc = key[ok], doc[ok]
-                yield pa.record_batch([_long(key), pa.array(uid[doc], pa.int64())], names=["key", "uid"])
+            found = [tile_keys(sets, offsets, bands, up) for up in (0, 1)]
+            key, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+            key, doc = key[keep[doc]], doc[keep[doc]]
+            order = np.argsort(key, kind="stable")
+            key, who = key[order], uid[doc[order]]
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            yield pa.record_batch([_long(key[start]), pa.array(who[start], pa.int64()), pa.nulls(len(start), pa.int64())], names=["key", "uid", "pivot"])
+            times = np.diff(np.append(start, len(key)))
+            joined = np.repeat(times > 1, times)
+            yield pa.record_batch([_long(key[joined]), pa.array(who[joined], pa.int64()), pa.array(np.repeat(who[start], times)[joined], pa.int64())], names=["key", "uid", "pivot"])
 
     return enter
 
 
 def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, those whose key another row has too, with the key's first row as pivot.
+    """A part's entries -> those whose key another one has too, with the key's least uid as pivot; joined rows as they are.
 
-    Only a batch's last row waits for the next batch.
+    A part has about ROWS_EACH entries, however many rows share a key: they come as one entry a slice.
     """
-    last_key, pivot, waiting = None, None, None
+    keys, uids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, uid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        before, after = np.zeros(len(key), bool), np.zeros(len(key), bool)
-        before[1:] = after[:-1] = key[1:] == key[:-1]
-        before[0] = last_key is not None and key[0] == last_key
-        first = np.maximum.accumulate(np.where(before, -1, np.arange(len(key))))
-        pivots = np.where(first >= 0, uid[np.maximum(first, 0)], pivot if pivot is not None else uid[0])
-        if waiting is not None and before[0]:
-            yield waiting
-        keep = before | after
-        out = pa.record_batch([batch.column(0), batch.column(1), pa.array(pivots, pa.int64())], names=["key", "uid", "pivot"])
-        yield out.filter(pa.array(keep))
-        last_key, pivot, waiting = key[-1], pivots[-1], None if keep[-1] else out.slice(len(key) - 1)
+        alone = batch.column(2).is_null()
+        yield batch.filter(pc.invert(alone))
+        part = batch.filter(alone)
+        keys.append(part.column(0).to_numpy())
+        uids.append(part.column(1).to_numpy())
+    key, uid = np.concatenate(keys), np.concatenate(uids)
+    keys.clear()
+    uids.clear()
+    order = np.argsort(key)
+    key, uid = key[order], uid[order]
+    del order
+    if not len(key):
+        return
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    times = np.diff(np.append(start, len(key)))
+    met = np.repeat(times > 1, times)
+    pivot = np.repeat(np.minimum.reduceat(uid, start)[times > 1], times[times > 1])
+    yield pa.record_batch([pa.array(key[met]), pa.array(uid[met]), pa.array(pivot)], names=["key", "uid", "pivot"])
 
 
 def common_count(a: np.ndarray, b: np.ndarray) -> int:
@@ -218,60 +243,117 @@ def may_link(size_a, size_b, apart, threshold: Fraction) -> np.ndarray:
     return (np.minimum(size_a, size_b) * q >= p * np.maximum(size_a, size_b)) & (q * most >= p * (size_a + size_b - most))
 
 
-def signatures(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+def differing(column: pa.Array, i: np.ndarray, j: np.ndarray, most: int = 8 << 20) -> np.ndarray:
+    """Differing bits of the signatures i and j of a column, pair by pair, at the shorter one's length."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    data, offsets = common.text_bytes(column)
+    words, at = np.diff(offsets) // 8, offsets[:-1] // 8
+    data = data[: len(data) // 8 * 8].view(np.uint64)
+    out = np.zeros(len(i), np.int64)
+    short, long_ = np.minimum(words[i], words[j]), np.maximum(words[i], words[j])
+    shape = short << 32 | long_
+    for kind in np.unique(shape):
+        low, high = int(kind >> 32), int(kind & 0xFFFFFFFF)
+        which = np.flatnonzero(shape == kind)
+        step = max(1, most // (8 * (low + high)))
+        for part in np.split(which, range(step, len(which), step)):
+            a, b = i[part], j[part]
+            swap = words[a] > words[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            x = data[at[a][:, None] + np.arange(low)]
+            y = folded(data[at[b][:, None] + np.arange(high)], low)
+            out[part] = np.bitwise_count(x ^ y).sum(1)
+    return out
 
 
-def differing(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Differing bits of each pair of signatures, at the shorter one's length."""
-    out = np.zeros(len(a), np.int64)
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        words = min(len(x), len(y))
-        out[i] = np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()
-    return out
+def group_pairs(last: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs i < j of rows of one group, in pieces; ``last`` is the end of each row's group."""
+    count = last - np.arange(len(last)) - 1
+    total = np.cumsum(count)
+    start = 0
+    while start < len(last):
+        before = total[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(total, before + most, "right")))
+        n = count[start:end]
+        i = np.repeat(np.arange(start, end), n)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        start = end
 
 
-def across(threshold: Fraction, block: int = 512):
-    """Of tiles sorted by key, the pairs of different components that size and bitmap allow, in blocks.
+TILE = "key long, low int, high int, chunk int, rep long, comp long, n_shingles long, bits binary"
 
-    Rows: key, rep, comp, n_shingles, bitmap.  A tile is read batch by batch; what must stay for later
-    members is one row a member of it.
+
+def across(threshold: Fraction, pairs: bool):
+    """Groups (key, low, high) of rows TILE, sorted -> the members that have a possible partner in another component, as
+    (key, rep), or with ``pairs`` the pairs (a, b) themselves.
+
+    In a group of two chunks only pairs between them count.  A group is held whole; chunks bound it.
     """
 
-    def pairs(rep, comp, size, bits, new: int) -> Iterator[pa.RecordBatch]:
-        words = min(map(len, bits))
-        table = np.stack([folded(x, words) for x in bits])
-        for low in range(new, len(rep), block):
-            high = min(len(rep), low + block)
-            for left in range(0, high, block):
-                i, j = np.nonzero(comp[left : min(high, left + block), None] != comp[None, low:high])
-                i, j = i + left, j + low
-                ok = i < j
-                i, j = i[ok], j[ok]
-                apart = np.concatenate([np.bitwise_count(table[i[k : k + 4096]] ^ table[j[k : k + 4096]]).sum(-1).astype(np.int64) for k in range(0, len(i), 4096)] or [np.zeros(0, np.int64)])
-                ok = may_link(size[i], size[j], apart, threshold)
-                i, j = i[ok], j[ok]
-                if len(i):
-                    yield pa.record_batch([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
+    def met(part: pa.Table, last: np.ndarray) -> pa.RecordBatch:
+        chunk, comp, size, low, high = (part.column(c).to_numpy() for c in ("chunk", "comp", "n_shingles", "low", "high"))
+        p, q = threshold.numerator, threshold.denominator
+        found = []
+        for i, j in group_pairs(last):
+            ok = (comp[i] != comp[j]) & ((low[i] == high[i]) | (chunk[i] != chunk[j]))
+            ok &= np.minimum(size[i], size[j]) * q >= p * np.maximum(size[i], size[j])
+            i, j = i[ok], j[ok]
+            ok = may_link(size[i], size[j], differing(part.column("bits"), i, j), threshold)
+            i, j = i[ok], j[ok]
+            found.append(np.stack([i, j]) if pairs else np.unique(np.append(i, j)))
+        key, rep = part.column("key").to_numpy(), part.column("rep").to_numpy()
+        if pairs:
+            i, j = np.concatenate(found, 1)
+            both = np.unique(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])]), axis=1)
+            return pa.record_batch([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], names=["a", "b"])
+        rows = np.unique(np.concatenate(found))
+        return pa.record_batch([pa.array(key[rows], pa.int64()), pa.array(rep[rows], pa.int64())], names=["key", "rep"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, held = None, None
-        for batch in batches:
-            key = batch.column(0).to_numpy()
-            rep, comp, size, bits = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy(), signatures(batch.column(4))
-            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist() if len(key) else []
-            for start, end in zip(edge, [*edge[1:], len(key)], strict=True):
-                tile, old = (rep[start:end], comp[start:end], size[start:end], bits[start:end]), 0
-                if held is not None and key[start] == last_key:
-                    old = len(held[0])
-                    tile = (*(np.concatenate([x, y]) for x, y in zip(held[:3], tile[:3], strict=True)), held[3] + tile[3])
-                if len(tile[0]) > 1 and (tile[1] != tile[1][0]).any():
-                    yield from pairs(*tile, old)
-                last_key, held = key[start], tile
+        held: list[pa.RecordBatch] = []
+        for batch in (b for whole in batches for b in common.slices(iter([whole]), "bits", CHUNK_BYTES)):
+            held.append(batch)
+            part = pa.Table.from_batches(held).combine_chunks()
+            k = np.stack([part.column(c).to_numpy() for c in ("key", "low", "high")], 1)
+            cut = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
+            if len(cut):
+                # the last group may go on in the next batch
+                last = np.repeat(cut, np.diff(cut, prepend=0))
+                yield met(part.slice(0, cut[-1]), last)
+                held = part.slice(cut[-1]).to_batches()
+        if held:
+            part = pa.Table.from_batches(held).combine_chunks()
+            yield met(part, np.full(part.num_rows, part.num_rows))
 
     return search
 
 
+def distinct_tiles(rows: DataFrame, least: int) -> DataFrame:
+    """Rows (key, rep, ...) of one tile for each set of members (by its size and two hashes), of tiles with ``least`` members or more.
+
+    Long alike documents share hundreds of tiles; what one of them shows, the others show too.
+    """
+    sets = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("s2"))
+    one = sets.where(F.col("n") >= least).groupBy("n", "s1", "s2").agg(F.min("key").alias("key"))
+    return rows.join(one.select("key"), "key", "left_semi")
+
+
+def dealt(rows: DataFrame, bits: DataFrame, each: float, parts: int) -> DataFrame:
+    """Rows (key, rep, comp, n) of tiles, as sorted groups of TILE: large tiles cut into chunks, each pair of chunks a group.
+
+    Tiles are dealt out before the signatures ``bits`` (rep, bits), of ``each`` bits an element, come to them.
+    """
+    size = F.greatest(F.lit(BITS / 8), F.col("n") * (each / 4))
+    size = rows.groupBy("key").agg(F.count("*").alias("members"), F.sum(size).alias("bytes"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    size = common.stored(size, "op10-sizes")
+    chunks = F.greatest(F.ceil(F.col("members") / CHUNK_ROWS), F.ceil(F.col("bytes") / CHUNK_BYTES)).cast("int")
+    rows = rows.join(size.select("key", chunks.alias("chunks")), "key").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("key", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"), "chunk", "rep", "comp", F.col("n").alias("n_shingles"))
+    return rows.join(bits, "rep").select([x.split()[0] for x in TILE.split(", ")]).repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+
 def checker(threshold: Fraction):
     """Rows (a, b, text_a, text_b) -> the pairs that link, by exact intersection of their sorted sets."""
     p, q = threshold.numerator, threshold.denominator
@@ -291,17 +373,22 @@ def checker(threshold: Fraction):
     return check
 
 
-def verified(pairs: DataFrame, texts: DataFrame, known: DataFrame, threshold: Fraction, name: str) -> DataFrame:
-    """The distinct candidate pairs (a < b) that link; each pair meets its bitmaps first, then its sets."""
-    side = lambda x: known.select(F.col("uid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bitmap").alias(f"bits_{x}"))
+def verified(pairs: DataFrame, texts: DataFrame, known: DataFrame | None, threshold: Fraction, name: str) -> DataFrame:
+    """The distinct candidate pairs (a < b) that link; with ``known`` a pair meets its coarse bitmaps first, then its sets."""
+    side = lambda x: known.select(F.col("uid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("coarse").alias(f"bits_{x}"))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            apart = differing(signatures(batch.column("bits_a")), signatures(batch.column("bits_b")))
-            ok = may_link(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), apart, threshold)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-    left = common.stored(pairs.distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(bound, "a long, b long"), f"{name}-bounded")
+        for whole in batches:
+            for batch in common.slices(iter([whole]), "bits_b"):
+                n = np.arange(batch.num_rows)
+                bits = pa.concat_arrays([batch.column("bits_a").cast(pa.large_binary()), batch.column("bits_b").cast(pa.large_binary())])
+                ok = may_link(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), differing(bits, n, n + len(n)), threshold)
+                yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    left = pairs.distinct()
+    if known is not None:
+        left = left.join(side("a"), "a").join(side("b"), "b").mapInArrow(bound, "a long, b long")
+    left = common.stored(left, f"{name}-bounded", WIDE_ROWS)
     of = lambda x: common.among(texts, left.select(F.col(x).alias("uid")), "uid").select(F.col("uid").alias(x), F.col("text").alias(f"text_{x}"))
     both = left.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(checker(threshold), "a long, b long")
@@ -311,28 +398,27 @@ def classes(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD) -> Dat
     """uid, doc_id, n_shingles, component_id for every row."""
     spark = docs.sparkSession
     texts = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    facts = common.stored(texts.mapInArrow(measure, SETS), "op10-sets")
+    facts = common.stored(texts.mapInArrow(measure, SETS), "op10-sets", WIDE_ROWS)
     total = facts.agg(F.max("n_shingles"), F.sum("n_shingles")).first()
     bands = Bands(threshold, int(total[0] or 0))
     # equal sets: one representative
     group = ["n_shingles", "f1", "f2"]
     real = facts.where("n_shingles > 0")
-    reps = real.groupBy(group).agg(F.min("uid").alias("rep"))
-    member = common.stored(real.join(reps, group).select("uid", "doc_id", "rep", "n_shingles"), "op10-members")
-    known = facts.join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi")
-    known = common.stored(known, "op10-known")
+    reps = common.stored(real.groupBy(group).agg(F.min("uid").alias("rep")), "op10-reps")
+    member = common.stored(real.select("uid", "doc_id", *group).join(reps, group).select("uid", "doc_id", "rep", "n_shingles"), "op10-members")
+    known = facts.where("n_shingles > 0").select("uid", "n_shingles", "coarse", "sharp")
     # tiles
     parts = common.wide_enough(spark, int(0.6 * (total[1] or 0)), ROWS_EACH)
     plain = texts.select("uid", "text")
-    tiles = plain.mapInArrow(entries(bands), ENTRY).repartition(parts, "key").sortWithinPartitions("key", "uid").mapInArrow(shared, ENTRY + ", pivot long")
-    tiles = common.stored(tiles, "op10-tiles")
+    entered = plain.mapInArrow(entries(bands), ENTRY).repartition(parts, F.expr("if(pivot is null, key, xxhash64(key, uid))"))
+    tiles = common.stored(entered.mapInArrow(shared, ENTRY), "op10-tiles", 4 * WIDE_ROWS)
     # stars: every member with its tile's first
     rep_of = lambda x: member.select(F.col("uid").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n_shingles").alias(f"n_{x}"))
     stars = tiles.where("uid <> pivot").select("uid", "pivot").distinct().join(rep_of("uid"), "uid").join(rep_of("pivot"), "pivot").where("rep_uid <> rep_pivot")
     stars = common.stored(stars, "op10-stars")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     alike = stars.where(F.least("n_uid", "n_pivot") * threshold.denominator >= F.greatest("n_uid", "n_pivot") * threshold.numerator)
-    links = common.stored(verified(alike.select(*pair("rep_uid", "rep_pivot")), plain, known, threshold, "op10-star"), "op10-links")
+    links = common.stored(verified(alike.select(*pair("rep_uid", "rep_pivot")), plain, known, threshold, "op10-star"), "op10-links", WIDE_ROWS)
     linked = common.stored(common.connected(links, "op10-star"), "op10-comps")
     comp_of = lambda x, comps: comps.select(F.col("node").alias(x), F.col("component").alias(f"comp_{x}"))
     # the tiles that still hold several components are those with a star pair across components
@@ -340,27 +426,32 @@ def classes(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD) -> Dat
     apart = apart.where(F.coalesce("comp_rep_uid", "rep_uid") != F.coalesce("comp_rep_pivot", "rep_pivot")).select("uid", "pivot")
     keys = common.stored(tiles.join(apart, ["uid", "pivot"], "left_semi").select("key").distinct(), "op10-open")
     held = tiles.select("key", "uid").join(keys, "key", "left_semi").join(rep_of("uid"), "uid").select("key", F.col("rep_uid").alias("rep"), F.col("n_uid").alias("n")).distinct()
-    held = common.stored(held, "op10-held")
+    # of two members one star has said all
+    held = common.stored(distinct_tiles(common.stored(held, "op10-placed"), 3), "op10-held")
     # more stars, each from another member of a tile, join what one member of it doesn't link with
     for turn in range(STARS):
         placed = held.join(comp_of("rep", linked), "rep", "left").withColumn("comp", F.coalesce("comp_rep", "rep"))
         chosen = F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), F.col("rep").alias("pivot"), F.col("n").alias("n_pivot"), F.col("comp").alias("comp_pivot"))
-        pivots = placed.groupBy("key").agg(F.min(chosen).alias("p")).select("key", "p.*")
+        pivots = common.stored(placed.groupBy("key").agg(F.min(chosen).alias("p")).select("key", "p.*"), "op10-pivots")
         more = placed.join(pivots, "key").where("comp <> comp_pivot")
         more = more.where(F.least("n", "n_pivot") * threshold.denominator >= F.greatest("n", "n_pivot") * threshold.numerator).select(*pair("rep", "pivot"))
-        links = common.stored(links.union(verified(more, plain, known, threshold, "op10-star")), "op10-links")
+        links = common.stored(links.union(verified(more, plain, known, threshold, "op10-star")), "op10-links", WIDE_ROWS)
         linked = common.stored(common.connected(links, "op10-star"), "op10-comps")
-    # every pair that is left between components of a tile
-    open_ = held.join(comp_of("rep", linked), "rep", "left").withColumn("comp", F.coalesce("comp_rep", "rep"))
-    open_ = open_.join(known.select(F.col("uid").alias("rep"), "n_shingles", "bitmap"), "rep").select("key", "rep", "comp", "n_shingles", "bitmap")
-    open_ = open_.repartition(parts, "key").sortWithinPartitions("key", "rep")
-    rest = verified(open_.mapInArrow(across(threshold), "a long, b long"), plain, known, threshold, "op10-rest")
-    all_links = common.stored(links.union(rest), "op10-links")
+    # every pair that is left between components of a tile: first by coarse bitmaps, then by sharp ones
+    open_ = common.stored(held.join(comp_of("rep", linked), "rep", "left").select("key", "rep", F.coalesce("comp_rep", "rep").alias("comp"), "n"), "op10-open")
+    bits = lambda x: known.select(F.col("uid").alias("rep"), F.col(x).alias("bits"))
+    near = dealt(open_, bits("coarse"), COARSE, parts).mapInArrow(across(threshold, False), "key long, rep long")
+    near = common.stored(near.distinct().join(open_, ["key", "rep"]), "op10-near", WIDE_ROWS)
+    left = dealt(distinct_tiles(near, 2), bits("sharp"), SHARP, parts).mapInArrow(across(threshold, True), "a long, b long")
+    rest = verified(left, plain, None, threshold, "op10-rest")
+    all_links = common.stored(links.union(rest), "op10-links", WIDE_ROWS)
     comps = common.connected(all_links, "op10-all")
     # back to documents: a component is named by its smallest doc_id
     found = member.join(comps.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    found = common.stored(found.select("uid", "doc_id", "comp"), "op10-found")
     name = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first"))
-    named = found.join(name, "comp").select("uid", "component_id", (F.col("first.uid") == F.col("uid")).alias("kept"))
+    name = common.stored(name.select("comp", "component_id", F.col("first.uid").alias("first")), "op10-names")
+    named = found.join(name, "comp").select("uid", "component_id", (F.col("first") == F.col("uid")).alias("kept"))
     out = facts.select("uid", "doc_id", "n_shingles").join(named, "uid", "left")
     return out.select("uid", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("kept", F.lit(True)).alias("kept"))
 
