@@ -6,10 +6,15 @@ anchors of the same hash at the same distance.  Runs of neighbouring windows wit
 a context: the bytes from the first window's start to the last one's end.  Contexts are grouped by
 their anchor's hash; a hash that occurs once holds nothing that repeats.  Equal contexts repeat whole.
 Only where the contexts of a hash differ are their bytes fetched: one of each kind goes to the hash's
-group (hashes with more than CROWD kinds, such as a common line in different places, compare the hashes
-of single windows instead), where a suffix array (prefix doubling, one alphabet a group), its LCP array and the previous and
+group, where a suffix array (prefix doubling, one alphabet a group), its LCP array and the previous and
 next smaller positions in suffix order give for every position the longest earlier factor and its place.
 
+A hash with more than CROWD kinds of context (a common line in different places) is parted before it is
+compared: windows that start far before the anchor hold the bytes before it, the others those after it,
+so each context falls into two, with anchors longer by half of what is left of the window, and contexts of
+the same longer anchor meet.  Crowds of these are parted again, until the anchor is the window itself.
+Hashes that come often in one slice of the scan are dealt out by their contexts, not by themselves.
+
 A position whose longest previous factor has LENGTH bytes or more starts a later copy; the place it
 points to starts an earlier one.  ``keep_first`` removes only the later copies' bytes (from the second
 occurrence by document, then place); without it every byte of a repeated window goes, first copies too.
@@ -32,82 +37,112 @@ from . import common
 
 LENGTH, K = 200, 48
 ROWS_EACH = 400_000
-#: Kinds of context of one anchor hash that are compared in one suffix array; hashes with more go window by window.
-CROWD = 4096
-CONTEXTS = "h long, c long, uid long, start int, size int, windows int"
+#: Kinds of context of one anchor hash that are compared in one suffix array; hashes with more are parted first.
+CROWD = 1024
+#: Rows of one hash in a slice of the scan from which on it is dealt out by its contexts; bytes of text in a slice.
+OFTEN, SLICE = 16, 1 << 20
+#: Bytes of contexts that share a suffix array, if their hashes have fewer; rows with texts that go to Python at once.
+TOGETHER, WIDE_ROWS = 256 << 10, 1000
+#: place: the anchor's distance from the start, and the bytes before and after the first anchor that it has grown by.
+CONTEXTS = "h long, c long, uid long, start int, size int, place int, often boolean"
 MARKS = "uid long, start int, end int"
 
 
 def _anchor_places(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple:
-    """Starts of the context's first window, number of windows and anchor of each context of a batch."""
+    """Prefix hashes; starts of the context's first window, number of windows and anchor of each context of a batch."""
     n = len(data)
     prefix = common.prefix_hash(data)
     if n < length:
         return prefix, *(np.zeros(0, np.int64) for _ in range(3))
     at = np.arange(n - k + 1)
     gram = common.mix((prefix[at + k] - prefix[at]) * common.powers("down", n + 1)[at])
-    low = np.uint64((1 << 26) - 1)
-    if n > int(low):
-        raise ValueError("a batch is longer than its places can count")
-    # the smallest hash of each window, the leftmost of equal ones: hash bits above, place below
-    key = (gram & ~low) | at.astype(np.uint64)
-    span, done = length - k + 1, 1
-    while done * 2 <= span:
-        key = np.minimum(key[:-done], key[done:])
-        done *= 2
-    if done < span:
-        key = np.minimum(key[: len(key) - (span - done)], key[span - done :])
-    anchor = (key & low).astype(np.int64)  # of the window that starts at each place
-    inside = np.ones(len(anchor), bool)
+    # the smallest hash of each window, the leftmost of equal ones: minima over growing powers of two
+    span, done, best = length - k + 1, 1, at.copy()
+    while done < span:
+        step = min(done, span - done)
+        left, right = best[: len(best) - step], best[step:]
+        best = np.where(gram[right] < gram[left], right, left)
+        done += step
+    inside = np.ones(len(best), bool)
     # windows that run over a document's end
     for end in offsets[1:]:
         inside[max(0, end - length + 1) : end] = False
     start = np.flatnonzero(inside)
     if not len(start):
         return prefix, *(np.zeros(0, np.int64) for _ in range(3))
-    a = anchor[start]
+    a = best[start]
     first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (start[1:] != start[:-1] + 1)]))
     return prefix, start[first], np.diff(np.concatenate([first, [len(start)]])), a[first]
 
 
+def _context_hash(prefix: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash of a context with its anchor's distance from its start."""
+    return common.mix(common.span_hash(prefix, start, start + size) + common.mix((at << 32 | size).astype(np.uint64)))
+
+
+def _contexts(h, c, uid, start, size, place, often) -> pa.RecordBatch:
+    columns = [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(uid, pa.int64()), *(pa.array(x.astype(np.int32)) for x in (start, size, place)), pa.array(often)]
+    return pa.record_batch(columns, names=[x.split()[0] for x in CONTEXTS.split(", ")])
+
+
 def finder(length: int, k: int):
-    """uid, text -> one row a context: anchor hash, context hash, document, start, size, windows."""
+    """uid, text -> one row a context."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", SLICE):
             data, offsets = common.text_bytes(batch.column(1))
             prefix, start, windows, anchor = _anchor_places(data, offsets, length, k)
             size = windows + length - 1
-            # an anchor's hash, and the context's with the anchor's distance from its start
             h = common.mix(common.span_hash(prefix, anchor, anchor + k))
-            c = common.mix(common.span_hash(prefix, start, start + size) + common.mix(((anchor - start) << 32 | size).astype(np.uint64)))
+            c = _context_hash(prefix, start, size, anchor - start)
             doc = np.searchsorted(offsets, start, "right") - 1
-            uid = batch.column(0).to_numpy()
-            yield pa.record_batch(
-                [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(uid[doc]), pa.array((start - offsets[doc]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(windows.astype(np.int32))],
-                names=[x.split()[0] for x in CONTEXTS.split(", ")],
-            )
+            _, back, times = np.unique(h, return_inverse=True, return_counts=True)
+            yield _contexts(h, c, batch.column(0).to_numpy()[doc], start - offsets[doc], size, anchor - start, times[back] >= OFTEN)
 
     return find
 
 
+def parter(length: int, k: int):
+    """Contexts with their bytes -> the two contexts that each falls into: windows far before the anchor, and the others."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = common.text_bytes(batch.column("bytes"))
+            prefix, begin, windows = common.prefix_hash(data), offsets[:-1], np.diff(offsets) - length + 1
+            place = batch.column("place").to_numpy().astype(np.int64)
+            at, left, right = place & 255, place >> 8 & 255, place >> 16 & 255
+            slack = length - k - left - right
+            grown = (slack + 1) // 2
+            # the windows that start at the context's first ``cut`` bytes hold ``grown`` more bytes before the anchor
+            cut = np.clip(at - left - grown + 1, 0, windows)
+            for first, last, more, after in ((np.zeros_like(cut), cut, grown, 0 * cut), (cut, windows, 0 * cut, slack + 1 - grown)):
+                ok = np.flatnonzero((last > first) & (slack > 0))
+                first, size, l, r = first[ok], (last - first + length - 1)[ok], (left + more)[ok], (right + after)[ok]
+                from_, to = (begin + at)[ok] - l, (begin + at)[ok] + k + r
+                h = common.mix(common.span_hash(prefix, from_, to) + common.mix((l << 8 | r).astype(np.uint64)))
+                d = at[ok] - first
+                c = _context_hash(prefix, begin[ok] + first, size, d)
+                yield _contexts(h, c, batch.column("uid").to_numpy()[ok], batch.column("start").to_numpy()[ok] + first, size, d | l << 8 | r << 16, np.ones(len(ok), bool))
+
+    return part
+
+
 def suffix_array(text: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Suffix order by the first ``depth`` (or more) characters, ties by place, and the ranks of each doubling.
 
     Characters of different groups differ; a string ends where its group or a 0 ends it.
     """
     n = len(text)
-    ranks = [np.unique(group.astype(np.int64) << 9 | text, return_inverse=True)[1].astype(np.int64)]
+    ranks = [np.unique(group.astype(np.int64) << 9 | text, return_inverse=True)[1].astype(np.int32)]
     step = 1
     while step < depth:
         now = ranks[-1]
-        after = np.full(n, -1, np.int64)
+        both = now.astype(np.int64) * (int(now.max()) + 2)
         if step < n:
-            after[: n - step] = now[step:]
-        both = now * (now.max() + 2) + after + 1
-        ranks.append(np.unique(both, return_inverse=True)[1].astype(np.int64))
+            both[: n - step] += now[step:] + 1
+        ranks.append(np.unique(both, return_inverse=True)[1].astype(np.int32))
         step *= 2
-    return np.lexsort((np.arange(n), ranks[-1])), ranks
+    return np.argsort(ranks[-1], kind="stable"), ranks
 
 
 def adjacent_lcp(order: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
@@ -155,36 +190,26 @@ def previous_factors(order: np.ndarray, lcp: np.ndarray, least: int = 1) -> tupl
     return length, source
 
 
-def repeated_windows(contexts: list[tuple[int, bytes]], length: int, keep_first: bool) -> list[np.ndarray]:
-    """Of contexts (group, bytes): for each the starts of its windows that occur in another of its group."""
-    sizes = np.array([len(b) for _, b in contexts])
-    begin = np.concatenate([[0], np.cumsum(sizes + 1)])
-    text, group = np.zeros(begin[-1], np.int64), np.zeros(begin[-1], np.int64)
-    for i, (g, b) in enumerate(contexts):
-        text[begin[i] : begin[i + 1] - 1] = np.frombuffer(b, np.uint8).astype(np.int64) + 1
-        group[begin[i] : begin[i + 1]] = g
+def repeated_windows(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, length: int, keep_first: bool) -> np.ndarray:
+    """For every byte of contexts (of a group each): whether a window that starts there occurs in another of its group."""
+    size, n = np.diff(offsets), len(group)
     # the end mark of each context is a character of its own: it never matches
-    ends = begin[1:] - 1
-    group[ends] = np.arange(len(ends)) + (group.max() + 1)
-    order, ranks = suffix_array(text, group, length)
+    at = np.arange(len(data)) + np.repeat(np.arange(n), size)
+    ends = offsets[1:] + np.arange(n)
+    text, own = np.zeros(len(data) + n, np.int32), np.zeros(len(data) + n, np.int32)
+    text[at], own[at], own[ends] = data.astype(np.int32) + 1, np.repeat(group, size), np.arange(n) + (int(group.max(initial=0)) + 1)
+    order, ranks = suffix_array(text, own, length)
     longest, source = previous_factors(order, adjacent_lcp(order, ranks), length)
     later = longest >= length
     hit = later.copy()
     if not keep_first:
         hit[source[later]] = True
-    return [np.flatnonzero(hit[a:b]) for a, b in zip(begin[:-1], ends, strict=True)]
-
-
-def _ranges(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > length)
-    return [(int(a), int(b) + length) for a, b in zip(starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)], strict=True)]
+    return hit[at]
 
 
 def sorter(keep_first: bool):
     """Contexts sorted by (h, c, uid, start) -> those that repeat whole (kind 0) and, of hashes that have several
-    kinds of context, the first of each kind (kind 1).  Two rows at most wait for the next batch."""
+    kinds of context or come often, the first of each kind (kind 1).  Two rows at most wait for the next batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (None, None)
@@ -196,7 +221,7 @@ def sorter(keep_first: bool):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            h, c, often = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(6).to_numpy(zero_copy_only=False).astype(bool)
             new_h = np.concatenate([[h[0] != last[0]], h[1:] != h[:-1]])
             new_c = new_h | np.concatenate([[c[0] != last[1]], c[1:] != c[:-1]])
             again = ~new_c
@@ -208,15 +233,13 @@ def sorter(keep_first: bool):
             yield out(batch.filter(pa.array(again)), 0)
             kinds = np.flatnonzero(new_c)
             if len(kinds):
-                company = new_h[kinds] & np.append(~new_h[kinds[1:]], False) | ~new_h[kinds]
+                company = new_h[kinds] & np.append(~new_h[kinds[1:]], False) | ~new_h[kinds] | often[kinds]
                 if first is not None and not new_h[kinds[0]]:
                     yield out(first, 1)
                     first = None
                 yield out(batch.take(pa.array(kinds[company])), 1)
-                if new_h[kinds[-1]]:
-                    first = batch.slice(kinds[-1], 1)
-                elif new_h[kinds].any():
-                    first = None
+                if new_h[kinds].any():
+                    first = batch.slice(kinds[-1], 1) if new_h[kinds[-1]] and not often[kinds[-1]] else None
             last = (h[-1], c[-1])
 
     return run
@@ -227,75 +250,64 @@ def removed(docs: DataFrame, length: int = LENGTH, k: int = K, keep_first: bool
     spark = docs.sparkSession
     texts = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     plain = texts.select("uid", "text")
-    size = int(docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)
-    parts = common.wide_enough(spark, int(size * 2 / (length - k)), ROWS_EACH)
-    found = plain.mapInArrow(finder(length, k), CONTEXTS).repartition(parts, "h").sortWithinPartitions("h", "c", "uid", "start")
-    rows = common.stored(found.mapInArrow(sorter(keep_first), CONTEXTS + ", kind int"), "op3-contexts")
-    whole = rows.where("kind = 0").select("uid", "start", (F.col("start") + F.col("size")).alias("end"))
-    kinds = rows.where("kind = 1")
-    crowded = kinds.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("h", F.lit(True).alias("crowded"))
-    asked = kinds.join(crowded, "h", "left").groupBy("uid").agg(F.collect_list(F.struct("h", "start", "size", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("asked"))
-    # the bytes of the contexts that must be compared, one of each kind
-    fetched = plain.join(asked, "uid").select("uid", F.explode("asked").alias("a"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"))
-    fetched = fetched.select(F.col("a.h").alias("h"), "uid", F.col("a.start").alias("start"), F.substring("bytes", F.col("a.start") + 1, F.col("a.size")).alias("bytes"), F.col("a.crowded").alias("crowded"))
-    fetched = common.stored(fetched, "op3-fetched")
-    alone = fetched.where("not crowded").drop("crowded")
-    compared = alone.repartition(parts, "h").sortWithinPartitions("h", "uid", "start").mapInArrow(comparer(length, keep_first), MARKS)
-    compared = common.stored(compared, "op3-compared")
-    # hashes with a crowd of different contexts (a common line in different places): each window for itself
-    single = common.stored(fetched.where("crowded").drop("crowded").mapInArrow(window_hashes(length), "w long, uid long, start int"), "op3-windows")
-    twice = single.groupBy("w").agg(F.count("*").alias("n"), F.min(F.struct("uid", "start")).alias("first")).where("n > 1")
-    hits = single.join(twice, "w").where(F.lit(not keep_first) | (F.struct("uid", "start") != F.col("first")))
-    hits = hits.select("uid", "start", (F.col("start") + length).cast("int").alias("end"))
-    return texts, whole.select("uid", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")).union(compared).union(hits)
-
-
-def window_hashes(length: int):
-    """Contexts -> one row a window: a hash of its bytes, document and start."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = common.text_bytes(batch.column(3))
-            count = np.maximum(np.diff(offsets) - length + 1, 0)
-            row = np.repeat(np.arange(batch.num_rows), count)
-            shift = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            start = offsets[:-1][row] + shift
-            w = common.mix(common.span_hash(common.prefix_hash(data), start, start + length))
-            uid, begin = batch.column(1).to_numpy()[row], batch.column(2).to_numpy()[row] + shift
-            yield pa.record_batch([pa.array(w.view(np.int64)), pa.array(uid), pa.array(begin.astype(np.int32))], names=["w", "uid", "start"])
-
-    return run
-
-
-def comparer(length: int, keep_first: bool, most: int = 1 << 20):
-    """Contexts sorted by hash -> marks of the windows that repeat; many small groups share one suffix array.
+    found = common.stored(plain.mapInArrow(finder(length, k), CONTEXTS), "op3-contexts", WIDE_ROWS)
+    marks = found.select("uid", "start", "start").toDF(*(x.split()[0] for x in MARKS.split(", "))).limit(0)
+    count = found.count()
+    while count:
+        parts = common.wide_enough(spark, count, ROWS_EACH)
+        # rows of hashes that come often somewhere are dealt out by their contexts too
+        often = found.where("often").select("h", F.lit(True).alias("spread")).distinct()
+        laid = found.drop("often").join(often, "h", "left").withColumn("often", F.coalesce("spread", F.lit(False))).drop("spread")
+        laid = laid.repartition(parts, "h", F.when(F.col("often"), F.col("c"))).sortWithinPartitions("h", "c", "uid", "start")
+        rows = common.stored(laid.mapInArrow(sorter(keep_first), CONTEXTS + ", kind int"), "op3-kinds")
+        marks = marks.union(rows.where("kind = 0").select("uid", "start", (F.col("start") + F.col("size")).cast("int")))
+        kinds = rows.where("kind = 1").select("h", "uid", "start", "size", "place")
+        company = common.stored(kinds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "op3-company")
+        asked = common.stored(kinds.join(company, "h"), "op3-asked")
+        # the bytes of the contexts that must be compared, one of each kind
+        lists = asked.groupBy("uid").agg(F.collect_list(F.struct("h", "start", "size", "place", "n")).alias("asked"))
+        whole = common.among(plain, asked.select("uid"), "uid")
+        fetched = whole.join(lists, "uid").select("uid", F.explode("asked").alias("a"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"))
+        fetched = fetched.select("a.h", "uid", "a.start", "a.place", "a.n", F.substring("bytes", F.col("a.start") + 1, F.col("a.size")).alias("bytes"))
+        fetched = common.stored(fetched, "op3-fetched")
+        alone = fetched.where(F.col("n") <= CROWD).select("h", "uid", "start", "bytes")
+        parts = common.wide_enough(spark, asked.count(), ROWS_EACH // 4)
+        compared = alone.repartition(parts, "h").sortWithinPartitions("h", "uid", "start").mapInArrow(comparer(length, keep_first), MARKS)
+        marks = marks.union(common.stored(compared, "op3-compared", WIDE_ROWS))
+        found = common.stored(fetched.where(F.col("n") > CROWD).mapInArrow(parter(length, k), CONTEXTS), "op3-contexts", WIDE_ROWS)
+        count = found.count()
+    return texts, marks
+
+
+def comparer(length: int, keep_first: bool):
+    """Contexts (h, uid, start, bytes) sorted by hash -> marks of the windows that repeat; small groups share one suffix array.
 
     A group has CROWD contexts at most, so what is held is bounded.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        total = 0
-
-        def flush(upto: int):
-            part = rows[:upto]
-            ids = np.cumsum([0, *(a[0] != b[0] for a, b in zip(part[1:], part[:-1], strict=True))]) if part else []
-            out: list[tuple] = []
-            for (_, uid, start, _), hits in zip(part, repeated_windows([(int(g), r[3]) for g, r in zip(ids, part, strict=True)], length, keep_first), strict=True):
-                out += [(uid, start + a, start + b) for a, b in _ranges(hits, length)]
-            columns = list(zip(*out, strict=True)) if out else [(), (), ()]
-            yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], names=["uid", "start", "end"])
+    def marks(part: pa.Table) -> pa.RecordBatch:
+        h = part.column("h").to_numpy()
+        data, offsets = common.text_bytes(part.column("bytes"))
+        group = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
+        at = np.flatnonzero(repeated_windows(data, offsets, group, length, keep_first))
+        of = np.searchsorted(offsets, at, "right") - 1
+        new = np.concatenate([[True], (of[1:] != of[:-1]) | (np.diff(at) > length)]) if len(at) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at)) - 1 if len(at) else first
+        begin = part.column("start").to_numpy()[of[first]] - offsets[of[first]]
+        return pa.record_batch([pa.array(part.column("uid").to_numpy()[of[first]], pa.int64()), pa.array((begin + at[first]).astype(np.int32)), pa.array((begin + at[last] + length).astype(np.int32))], names=["uid", "start", "end"])
 
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if total > most and rows and rows[-1][0] != row[0]:
-                    yield from flush(len(rows))
-                    rows.clear()
-                    total = 0
-                rows.append(row)
-                total += len(row[3])
-        if rows:
-            yield from flush(len(rows))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in (b for whole in batches for b in common.slices(iter([whole]), "bytes", TOGETHER)):
+            held.append(batch)
+            part = pa.Table.from_batches(held).combine_chunks()
+            cut = np.flatnonzero(np.diff(part.column("h").to_numpy())) + 1
+            if len(cut) and part.nbytes >= TOGETHER:
+                yield marks(part.slice(0, cut[-1]))
+                held = part.slice(cut[-1]).to_batches()
+        if held:
+            yield marks(pa.Table.from_batches(held).combine_chunks())
 
     return run
 

@@ -81,9 +81,10 @@ def test_jaccard(spark, tmp_path, rows):
     assert kept.count() == len(linked) + sum(not sets[i] for i in sets if i is not None) + 1
 
 
-@pytest.mark.parametrize("crowd", [4096, 1])
-def test_suffix(spark, tmp_path, rows, monkeypatch, crowd):
+@pytest.mark.parametrize(("crowd", "often"), [(1024, 16), (1, 16), (2, 2)])
+def test_suffix(spark, tmp_path, rows, monkeypatch, crowd, often):
     monkeypatch.setattr(op03_suffix, "CROWD", crowd)
+    monkeypatch.setattr(op03_suffix, "OFTEN", often)
     docs = docs_of(spark, tmp_path, rows)
     got = {(r.doc_id, r.n_bytes): r for r in op03_suffix.report(docs).collect()}
     data = [(i, (t or "").encode()) for i, t, *_ in rows]
