@@ -29,7 +29,7 @@ def prose():
         lang = "en de fr".split()[i % 3]
         text = " ".join("".join(rng.choice(syllables[lang], rng.integers(1, 4))) for _ in range(40))
         if i % 4 == 0:
-            text += " you " + rng.choice(["blockhead", "numskull", "dimwit"]) + " and " + rng.choice(["blockhead", "numskull", "dimwit"])
+            text += " " + rng.choice(["blockhead", "numskull", "dimwit"]) + " " + rng.choice(["blockhead", "numskull", "dimwit"])
         rows.append((i, text, lang, "s", "x", "u"))
     return rows + [(900, None, "en", None, "x", "u"), (901, "", None, None, "x", "u"), (902, "12 34", "de", None, "x", "u"), (903, "the " * 30000, "en", None, "x", "u"), (900, None, "en", None, "x", "u")]
 
@@ -42,6 +42,10 @@ def test_toxicity(spark, tmp_path, prose):
     held = [r for r in got if r.held_out and r.doc_id < 240]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in held]) > 0.95
+    # insults with an inserted or left-out letter make a harmless text likelier toxic
+    odd = [(2000 + i, r[1] + " " + w, *r[2:]) for i, (r, w) in enumerate((r, w) for r in prose[1:4] for w in ("dimxwit numskul", "blockhxead dixmwit", ""))]
+    marks = {r.doc_id - 2000: r.score for r in op02_toxicity.scored(store(spark, tmp_path, odd, name="odd"), op02_toxicity.labelled(docs, labels)).collect()}
+    assert all(marks[i] > 0.5 > marks[i + 2] and marks[i + 1] > 0.5 for i in (0, 3, 6)), marks
     clean = op02_toxicity.accepted(docs, labels, docs)
     assert clean.columns == docs.columns
     assert 175 <= clean.where("doc_id < 240").count() <= 185
@@ -67,15 +71,16 @@ def test_kernel():
     assert np.allclose(op02_toxicity.kernel_pairs(a, b), [direct(*p) for p in pairs], rtol=1e-5)
 
 
-def test_disguised_letters_are_compared():
-    landmarks = ["scum", "idiot", "trash", "loser", "stupid"]
+def test_kernel_with_landmarks_is_uncut():
+    """The table of subsequences gives every pair's kernel, however little the words share."""
+    landmarks = ["scum", "idiot", "trash", "loser", "stupid", "é", "x" * 40]
+    words = ["scxum", "idot", "st*pid", "", "a", "trrash", "resol", "unrelated", "e" * 40, "ñandú"]
     machine = op02_toxicity.Machine(landmarks, np.ones(len(landmarks)), -1.0, np.zeros(1))
-    for j, word in enumerate(landmarks):
-        for i in range(1, len(word) - 1):
-            forms = [word[:i] + "*" + word[i + 1 :], word[:i] + "v" + word[i + 1 :], word[:i] + word[i + 1] + word[i] + word[i + 2 :]]
-            row, col, value = machine.near(op02_toxicity.letters(forms))
-            met = {int(r): v for r, c, v in zip(row, col, value, strict=True) if c == j}
-            assert set(met) == {0, 1, 2} and min(met.values()) > 0, (word, forms)
+    codes = op02_toxicity.coded(words)[0]
+    pairs = op02_toxicity.kernel_pairs(np.repeat(codes, len(landmarks), 0), np.tile(machine.codes, (len(words), 1)))
+    assert np.allclose(machine.table.kernel(codes).ravel(), pairs, rtol=1e-4)
+    near = machine.near(["stupid", "stxupid", "st*pid", "stpid", "astonish"])[:, 4]
+    assert np.isclose(near[0], 1) and near[1:4].min() > 0.15 > near[4]
 
 
 @pytest.mark.parametrize("known", [1_500_000, 3])
