@@ -28,8 +28,8 @@ from . import common
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed values of the contract: the patterns of each kind.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A start inside a run of digits could only match where the run's start does, so it is not tried; digits are never given back.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -43,6 +43,7 @@ LABELLED = (
     "write to [email john.smith@example.com] soon", "mail [email anna_b@mail.example.org] or call", "send it to [email bob@corp.example] please",
     "contact [email jane (at) example.com] for help", "email [email max[at]example.net] today", "mail [email info@firma.example.de] bitte",
     "host [ip 192.168.10.4] is down", "ping [ip 10.0.0.1] first", "from [ip 172.16.254.3] came", "server at [ip 8.8.4.4] answers",
+    "tel [phone +1 (212) 555-0187] [ip 10.20.30.40] seen", "call [phone +1 (646) 555-1234] [ip 172.16.4.9]", "at [phone +49 30 901820] 12 times", "[phone +1 (305) 555-4821] [phone +1 (718) 555-2290]",
     "card [card 4111 1111 1111 1111] expires", "pay with [card 5500-0000-0000-0004] now", "visa [card 4012888888881881] was charged",
     "number [card 3782 822463 10005] on file",
     "in 1999 there were 25 cases", "it took 12 of 40 days", "about 3.5 percent of 1,000 people", "licensed under version 2.0 of it",
@@ -81,7 +82,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             done = found.end()
         at = text.find("@", max(at + 1, done))
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")

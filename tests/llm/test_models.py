@@ -1,8 +1,10 @@
 """Toxicity, scoring, personal data and languages: held-out accuracy, brute force and edge cases."""
 
 import hashlib
+import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -210,6 +212,35 @@ def test_spelt_out_addresses(spark, tmp_path):
     assert got[4].spans == ""
 
 
+def test_long_digit_runs():
+    """Time grows with the text's length, and no run of digits is too long to be read."""
+    texts = ["0" * 5000 + "1.2.3.4", "1" * 1_000_000, "1." * 300_000, "+1(" * 200_000, "a@" * 200_000, "7 " * 300_000]
+    start = time.time()
+    assert [len(op07_pii.base_spans(t)) for t in texts] == [1, 0, 75_000, 0, 0, 0]
+    assert time.time() - start < 10
+    rng = np.random.default_rng(7)
+    for _ in range(2000):
+        text = "".join(rng.choice(list("12.. 0"), rng.integers(0, 24)))
+        assert [m.span() for m in op07_pii.IP.finditer(text)] == [m.span() for m in re.finditer(PATTERNS[1][1], text)]
+
+
+def test_viterbi_is_best_path():
+    field = op07_pii.Field().train()
+    rows = op07_pii.rows_of("call +1 (212) 555-0187 10.20.30.40".split())
+    score = field.state[rows].sum(1)
+    value = lambda path: sum(score[i, t] for i, t in enumerate(path)) + sum(field.step[a, b] for a, b in zip(path, path[1:]))
+    best = max(itertools.product(range(op07_pii.STATES), repeat=len(rows)), key=value)
+    assert tuple(field.viterbi([rows, rows[:2]])[0]) == best
+
+
+def test_field_finds_what_patterns_overrun(spark, tmp_path):
+    """A phone number that an address follows at once is too long for its pattern; the field parts them."""
+    text = "pour en +1 (843) 555-7672 170.106.47.218"
+    got = op07_pii.report(store(spark, tmp_path, [(1, text, None, None, None, None)])).first()
+    start, ip = text.index("+1"), text.index("170")
+    assert got.n_phone == 0 and got.n_ip == 1 and got.spans == f"phone:{start}:{ip - 1},ip:{ip}:{len(text)}"
+
+
 def test_field_learns_its_table():
     field = op07_pii.Field().train()
     table = op07_pii.labelled()
