@@ -26,7 +26,7 @@ def docs(n=600):
     for i in range(n):
         source = names[0] if i % 3 == 0 else names[1 + i % 4]
         rows.append((i, " ".join(["word"] * int(rng.integers(0, 60))), None, source, None, "t", "t", 1))
-    return [*rows, (5000, None, None, "empty", None, "t", "t", 1), (0, "again", None, "a", None, "t", "t", 1)]
+    return [*rows, (5000, None, None, "empty", None, "t", "t", 1), (0, "again", None, "a", None, "t", "t", 1), (0, "once more here", None, "a", None, "t", "t", 1), (None, "no id", None, "b", None, "t", "t", 1), (None, "none " * 9, None, "b", None, "t", "t", 1)]
 
 
 def test_targets():
@@ -46,7 +46,7 @@ def test_mix(spark, tmp_path):
     rows = docs()
     table = store(spark, tmp_path, rows)
     got = op01_mix.report(table).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, op01_mix.report(table).collect()))
+    assert sorted(map(str, got)) == sorted(map(str, op01_mix.report(table).collect()))
     assert len(got) == len(rows)
     source = {r[0]: r[3] for r in rows}
     size = {}
@@ -61,6 +61,30 @@ def test_mix(spark, tmp_path):
         taken[s] += r.taken
     assert all(abs(taken[s] - goal[s]) <= 60 for s in order)
     mixed = op01_mix.mix(table)
+    # what shards hold is what the tree drew for them: disjoint blocks, as many of each source as its leaves say
+    sized = op01_mix.sized(table, op01_mix.BLOCKS)
+    laid = op01_mix.plan(sized).collect()
+    quota = dict.fromkeys(goal, 0)
+    leaves = {}
+    for b in laid:
+        at = None if b[op01_mix.KEY] == "1" else b[op01_mix.KEY][1:]
+        for d in b["__draws"] or ():
+            quota[at] += 1
+            leaves[at, d.shard] = leaves.get((at, d.shard), 0) + 1
+    tree = op01_mix.split_tree(np.array([quota[s] for s in order]), op01_mix.SHARDS, np.random.default_rng(op01_mix.SEED))
+    assert all(leaves.get((s, k), 0) == tree[k, i] for i, s in enumerate(order) for k in range(op01_mix.SHARDS))
+    shard_of = {}
+    for r in got:
+        shard_of.setdefault(r.doc_id, []).extend(r.shards)
+        assert r.copies == len(r.shards) and r.taken == r.size * r.copies
+    found = {}
+    for r in mixed.collect():
+        found.setdefault(r.doc_id, []).append(r.shard)
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in shard_of.items() if v}
+    # shards lie one after the other, each shuffled by its key
+    keys = [[(r.shard, r.shuffle_key) for r in p] for p in mixed.select("shard", "shuffle_key").rdd.glom().collect()]
+    assert all(k == sorted(k) for k in keys) and sum(len({s for s, _ in k}) for k in keys) == len({s for k in keys for s, _ in k})
+    assert op01_mix.mix(table.withColumnRenamed("target", "shard")).columns == [*("shard" if c == "target" else c for c in table.columns), "copy", "_shard", "shuffle_key"]
     assert mixed.columns == [*table.columns, "copy", "shard", "shuffle_key"]
     words = mixed.select(F.sum(F.regexp_count("text", F.lit(r"\S+")))).first()[0]
     assert words == sum(taken.values())
