@@ -9,9 +9,10 @@ spread-out data, and the threshold is set so that a vector falls into FILTERS fi
 
 Vectors that share a filter are compared by exact cosine in blocks.  A linked pair that meets in several
 filters counts only in the smallest filter both fall into, so links are counted without listing pairs,
-and a filter gives back a count a vector and a spanning forest of its links.  Equal directions collapse
-to one representative with a multiplicity beforehand.  Filters with more than BLOCK_ROWS vectors are cut
-into chunks, and every pair of chunks is a task of its own.
+and a filter gives back a count a vector and, for each vector, the least one that its links reach.  Equal
+directions collapse to one representative with a multiplicity beforehand.  Filters with more than
+BLOCK_ROWS vectors are cut into chunks by a hash; every pair of chunks is a group of its own, compared in
+strips of STRIP rows.
 
 Defined cases: null vectors, empty ones, zero vectors, vectors with null or non-finite components and
 vectors of another length than most link with nothing and are their own component; repeated rows count
@@ -33,7 +34,9 @@ THRESHOLD = 0.95
 BLOCKS, PER_FILTER, FILTERS, SEED = 4, 2, 16, 11
 #: Every filter this near to a vector's best one is taken, however far the best one is from the threshold.
 NEAR_BEST = 0.88
-BLOCK_ROWS = 2048
+BLOCK_ROWS, STRIP = 8192, 128
+#: Rows with vectors that go to Python at once.
+WIDE_ROWS = 1000
 
 
 class Code:
@@ -124,23 +127,17 @@ def first_shared(values: np.ndarray, starts: np.ndarray, i: np.ndarray, j: np.nd
     return out
 
 
-def _forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """Links (of rows) without those that close a circle."""
-    top: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := top.get(x, x)) != x:
-            top[x] = top.get(up, up)
-            x = up
-        return x
-
-    out = []
-    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        a, b = root(x), root(y)
-        if a != b:
-            top[max(a, b)] = min(a, b)
-            out.append((x, y))
-    return out
+def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the sets of rows i and j, pair by pair: ``label`` is each row's least row known to be reached."""
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label[:] = label[label]
 
 
 def comparer(dim: int, threshold: float):
@@ -151,31 +148,28 @@ def comparer(dim: int, threshold: float):
         lists = part.column("filters").combine_chunks()
         starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
         filters = lists.flatten().to_numpy()
-        cosine = unit[left] @ unit[right].T
-        x, y = np.nonzero(cosine >= threshold)
-        i, j = left[x], right[y]
-        ok = (rep[i] < rep[j]) if left is right else rep[i] != rep[j]
-        i, j = i[ok], j[ok]
-        if not len(i):
-            return
-        own = first_shared(filters, starts, i, j) == where
-        i, j = i[own], j[own]
-        if not len(i):
-            return
-        total = np.zeros(len(rep), np.int64)
-        np.add.at(total, i, n[j])
-        np.add.at(total, j, n[i])
+        total, label, other = np.zeros(len(rep), np.int64), np.arange(len(rep)), unit[right].T
+        for at in range(0, len(left), STRIP):
+            x, y = np.nonzero(unit[left[at : at + STRIP]] @ other >= threshold)
+            i, j = left[at + x], right[y]
+            ok = (rep[i] < rep[j]) if left is right else rep[i] != rep[j]
+            i, j = i[ok], j[ok]
+            own = first_shared(filters, starts, i, j) == where
+            i, j = i[own], j[own]
+            if len(i):
+                total += (np.bincount(i, weights=n[j], minlength=len(rep)) + np.bincount(j, weights=n[i], minlength=len(rep))).astype(np.int64)
+                merged(label, i, j)
         hit = np.flatnonzero(total)
         yield rep[hit], total[hit], np.full(len(hit), -1, np.int64)
-        edges = _forest(i, j)
-        yield rep[[a for a, _ in edges]], np.zeros(len(edges), np.int64), rep[[b for _, b in edges]]
+        joined = np.flatnonzero(label != np.arange(len(rep)))
+        yield rep[joined], np.zeros(len(joined), np.int64), rep[label[joined]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         key = None
 
         def flush():
-            part = pa.Table.from_batches(held)
+            part = pa.Table.from_batches(held).combine_chunks()
             chunk = part.column("chunk").to_numpy()
             low, high = part.column("low")[0].as_py(), part.column("high")[0].as_py()
             left, right = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
@@ -217,7 +211,8 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     for dim in sorted(sizes):
         found = found.union(_search(rows.where(F.size("unit") == dim), dim, threshold))
     named = rows.select("uid", "vec_id").join(found, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
-    names = named.groupBy("comp").agg(F.min("vec_id").alias("component_id"))
+    named = common.stored(named, "op9-named")
+    names = common.stored(named.groupBy("comp").agg(F.min("vec_id").alias("component_id")), "op9-names")
     return named.join(names, "comp").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id")
 
 
@@ -228,7 +223,7 @@ def _search(rows: DataFrame, dim: int, threshold: float) -> DataFrame:
     reps = common.stored(alike.select("rep", "unit", "n"), "op9-reps")
     count = reps.count()
     members = rows.join(reps.select("rep", "n", F.col("unit").alias("u")), F.col("unit") == F.col("u")).select("uid", "rep", "n")
-    lists = common.stored(reps.mapInArrow(decoder(dim, count), "rep long, unit array<double>, n long, filters array<long>"), "op9-filters")
+    lists = common.stored(reps.mapInArrow(decoder(dim, count), "rep long, unit array<double>, n long, filters array<long>"), "op9-filters", WIDE_ROWS)
     entries = lists.select("rep", F.explode("filters").alias("filter"))
     held = entries.groupBy("filter").agg(F.count("*").alias("size")).where("size > 1")
     # members of a filter are dealt to chunks by a hash; each pair of chunks is compared once
@@ -240,7 +235,7 @@ def _search(rows: DataFrame, dim: int, threshold: float) -> DataFrame:
     full = pairs.join(lists, "rep").select("filter", "low", "high", "chunk", "rep", "unit", "n", "filters")
     parts = common.wide_enough(spark, count * FILTERS, 100_000)
     dealt = full.repartition(parts, "filter", "low", "high").sortWithinPartitions("filter", "low", "high")
-    out = common.stored(dealt.mapInArrow(comparer(dim, threshold), "rep long, links long, other long"), "op9-links")
+    out = common.stored(dealt.mapInArrow(comparer(dim, threshold), "rep long, links long, other long"), "op9-links", WIDE_ROWS)
     total = out.where("other < 0").groupBy("rep").agg(F.sum("links").alias("links"))
     comps = common.connected(out.where("other >= 0").select(F.col("rep").alias("a"), F.col("other").alias("b")), "op9").withColumnRenamed("node", "rep")
     known = members.join(total, "rep", "left").join(comps, "rep", "left")

@@ -139,6 +139,36 @@ def test_embeddings(spark, tmp_path):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
 
 
+def test_embeddings_in_chunks(spark, tmp_path, monkeypatch):
+    """Every link of 3000 vectors is found, in filters cut into chunks and strips; repeated rows count."""
+    monkeypatch.setattr(op09_caps, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(op09_caps, "STRIP", 7)
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((300, 32))
+    near = (base[rng.integers(0, 60, 2600)] + rng.standard_normal((2600, 32)) * rng.uniform(0.02, 0.3, (2600, 1))).tolist()
+    vectors = [*base.tolist(), *near, *near[:100]]
+    rows = [(i, v) for i, v in enumerate(vectors)]
+    path = str(tmp_path / "vectors")
+    spark.createDataFrame([*rows, rows[5]], "vec_id long, embedding array<double>").write.parquet(path)
+    got = op09_caps.report(spark.read.parquet(path)).collect()
+    u = np.array([*vectors, vectors[5]])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    cosine = u @ u.T
+    link = cosine >= 0.95
+    np.fill_diagonal(link, False)
+    ids = [*range(len(vectors)), 5]
+    comp = np.array(ids)
+    while True:
+        now = np.minimum(comp, np.where(link, comp[None, :], len(ids)).min(1))
+        if (now == comp).all():
+            break
+        comp = now
+    want = sorted((ids[k], int(link[k].sum()), int(comp[k])) for k in range(len(ids)))
+    have = sorted((r.vec_id, r.n_links, r.component_id) for r in got)
+    assert sum(w[1] for w in want) * 0.999 <= sum(h[1] for h in have) <= sum(w[1] for w in want)
+    assert sum(a == b for a, b in zip(want, have, strict=True)) >= 0.98 * len(want)
+
+
 def test_empty_tables(spark, tmp_path):
     docs = docs_of(spark, tmp_path, [])
     for report in (op06_exact.report, op10_jaccard.report, op03_suffix.report):
