@@ -25,6 +25,7 @@ is the share of toxic ones (0 without labels); other columns are never read.
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
@@ -116,18 +117,16 @@ class Subsequences:
             keys.append(key)
             weights.append(weight)
         row, key, weight = np.concatenate(rows), np.concatenate(keys), np.concatenate(weights)
-        both, back = np.unique(key * max(1, self.count) + row, return_inverse=True)
-        self.value = np.bincount(back, weights=weight, minlength=len(both))
-        self.owner = both % max(1, self.count)
-        self.keys, first = np.unique(both // max(1, self.count), return_index=True)
-        self.start = np.append(first, len(both))
+        self.keys, back = np.unique(key, return_inverse=True)
+        self.value = np.zeros((len(self.keys), self.count), np.float32)
+        np.add.at(self.value, (back, row), weight)
         # a dense table of keys where the alphabet is small
         self.place = None
         if base**ORDER <= 1 << 24:
             self.place = np.full(base**ORDER, -1, np.int32)
             self.place[self.keys] = np.arange(len(self.keys))
 
-    def _each(self, codes: np.ndarray, most: int = 1 << 18):
+    def _each(self, codes: np.ndarray, most: int = 1 << 13):
         """(row, subsequence, weight) of all subsequences of known letters, in pieces, words of one length together."""
         at = np.minimum(np.searchsorted(self.letters, codes), max(0, len(self.letters) - 1))
         index = np.where(self.letters[at] == codes, at + 1, 0) if len(self.letters) else np.zeros(codes.shape, np.int64)
@@ -146,7 +145,7 @@ class Subsequences:
 
     def kernel(self, codes: np.ndarray) -> np.ndarray:
         """The kernel of every row of codes with every word of the table."""
-        out = np.zeros(len(codes) * self.count)
+        out = np.zeros((len(codes), self.count), np.float32)
         for row, key, weight in self._each(codes):
             if self.place is not None:
                 at = self.place[key]
@@ -154,16 +153,11 @@ class Subsequences:
             else:
                 at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
                 hit = self.keys[at] == key
-            row, at, weight = row[hit], at[hit], weight[hit]
-            if not len(row):
-                continue
-            times = self.start[at + 1] - self.start[at]
-            many = np.repeat(self.start[at] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
-            low = int(row.min())
-            place = (np.repeat(row, times) - low) * self.count + self.owner[many]
-            some = np.bincount(place, weights=np.repeat(weight, times) * self.value[many])
-            out[low * self.count : low * self.count + len(some)] += some
-        return out.reshape(len(codes), self.count)
+            row, at, weight = row[hit], at[hit], weight[hit].astype(np.float32)
+            if len(row):
+                first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                out[row[first]] = np.add.reduceat(self.value[at] * weight[:, None], first)
+        return out
 
 
 def bent(top: np.ndarray) -> np.ndarray:
@@ -176,6 +170,7 @@ class Machine:
 
     def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, curve: np.ndarray, constant: float | None = None):
         self.landmarks, self.weights, self.bias, self.curve, self.constant = landmarks, weights, bias, curve, constant
+        self.name = uuid.uuid4().hex
         self.codes, _ = coded(landmarks)
         self.table = Subsequences(self.codes)
         self.own = np.sqrt(np.maximum(kernel_pairs(self.codes, self.codes), 1e-30)) if landmarks else np.zeros(0)
@@ -250,9 +245,18 @@ def top_three(values: np.ndarray, doc: np.ndarray, docs: int, floor: float) -> n
 class Scorer:
     """A machine with the values of words met before."""
 
+    #: The scorer that this worker used last, and its machine's name: tasks of one job share what it remembers.
+    last: tuple[str, Scorer] | None = None
+
     def __init__(self, machine: Machine):
         self.machine, self.known, self.value = machine, np.zeros(0, np.uint64), np.zeros(0)
 
+    @classmethod
+    def of(cls, machine: Machine) -> Scorer:
+        if cls.last is None or cls.last[0] != machine.name:
+            cls.last = machine.name, cls(machine)
+        return cls.last[1]
+
     def tops(self, column: pa.Array) -> np.ndarray:
         hashes, doc, starts, (data, ends) = slice_words(column)
         distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
@@ -283,15 +287,14 @@ class Scorer:
 def _solve(x: np.ndarray, plus: np.ndarray, minus: np.ndarray) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss, by Newton steps on the active rows.
 
-    Each row counts ``plus`` times as toxic and ``minus`` times as harmless.
+    Each row counts ``plus`` times as toxic and ``minus`` times as harmless; its last feature is 1.
     """
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
     beta, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
     for _ in range(25):
         value = x @ beta.astype(np.float32)
         up, down = plus * (value < 1), minus * (value > -1)
-        h = ridge + (x * (up + down).astype(np.float32)[:, None]).T.astype(np.float32) @ x
+        h = ridge + (x * (up + down).astype(np.float32)[:, None]).T @ x
         step = np.linalg.solve(h, x.T @ (up - down).astype(np.float32))
         if np.allclose(step, beta, atol=1e-5):
             break
@@ -342,7 +345,9 @@ def fit(texts: list[str], toxic: list[int]) -> Machine:
     root = vecs @ np.diag(1 / np.sqrt(np.maximum(vals, 1e-2))) @ vecs.T
     raw = machine.near(words)
     used = np.flatnonzero(raw.max(1) >= LEAST_NEAR)
-    x = np.vstack([raw[used] @ root.astype(np.float32), np.zeros((1, len(marks)), np.float32)])
+    x = np.zeros((len(used) + 1, len(marks) + 1), np.float32)
+    x[:, -1] = 1
+    x[:-1, :-1] = raw[used] @ root.astype(np.float32)
     del raw
     a = np.array([df[1][words[i]] for i in used], float)
     b = np.array([df[0][words[i]] for i in used], float) * n[1] / n[0]
@@ -354,7 +359,7 @@ def fit(texts: list[str], toxic: list[int]) -> Machine:
     for turn in range(ROUNDS + 1):
         beta, bias = _solve(x, plus + 1e-6, minus)
         if turn < ROUNDS:
-            value = x @ beta
+            value = x[:, :-1] @ beta.astype(np.float32)
             witness = [s[np.argmax(value[s])] for s in sentences if len(s)]
             plus = np.bincount(np.array(witness, np.int64), minlength=len(x)).astype(float)
     machine.weights, machine.bias = root @ beta, min(bias, 0.0)
@@ -389,7 +394,7 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer.of(shared.value)
         for batch in common.slices(batches, "text"):
             chance = shared.value.chance(scorer.tops(batch.column(2)))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(chance)], names=["uid", "doc_id", "score"])
@@ -411,7 +416,7 @@ def accepted(docs: DataFrame, labels: DataFrame, learn_from: DataFrame) -> DataF
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer.of(shared.value)
         for batch in common.slices(batches, "text"):
             yield batch.filter(pa.array(shared.value.chance(scorer.tops(batch.column(at))) < 0.5))
 

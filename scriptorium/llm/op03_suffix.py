@@ -45,6 +45,8 @@ OFTEN, SLICE = 16, 1 << 20
 TOGETHER, WIDE_ROWS = 256 << 10, 1000
 #: place: the anchor's distance from the start, and the bytes before and after the first anchor that it has grown by.
 CONTEXTS = "h long, c long, uid long, start int, size int, place int, often boolean"
+#: A context, or with ``mark`` one that is known to repeat whole.
+FOUND = CONTEXTS + ", mark boolean"
 MARKS = "uid long, start int, end int"
 
 
@@ -80,12 +82,20 @@ def _context_hash(prefix: np.ndarray, start: np.ndarray, size: np.ndarray, at: n
     return common.mix(common.span_hash(prefix, start, start + size) + common.mix((at << 32 | size).astype(np.uint64)))
 
 
-def _contexts(h, c, uid, start, size, place, often) -> pa.RecordBatch:
-    columns = [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(uid, pa.int64()), *(pa.array(x.astype(np.int32)) for x in (start, size, place)), pa.array(often)]
-    return pa.record_batch(columns, names=[x.split()[0] for x in CONTEXTS.split(", ")])
+def _contexts(h, c, uid, start, size, place, often, keep_first: bool) -> Iterator[pa.RecordBatch]:
+    """Rows FOUND of contexts in the order of documents: of equal ones only the first goes on, those that repeat are marked here."""
+    order = np.lexsort((c, h))
+    same = (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1])
+    later, marked = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    later[order[1:][same]] = marked[order[1:][same]] = True
+    if not keep_first:
+        marked[order[:-1][same]] = True
+    for rows, mark in ((~later, False), (marked, True)):
+        columns = [pa.array(x[rows].view(np.int64)) for x in (h, c, uid)] + [pa.array(x[rows].astype(np.int32)) for x in (start, size, place)]
+        yield pa.record_batch([*columns, pa.array(often[rows]), pa.array(np.full(int(rows.sum()), mark))], names=[x.split()[0] for x in FOUND.split(", ")])
 
 
-def finder(length: int, k: int):
+def finder(length: int, k: int, keep_first: bool):
     """uid, text -> one row a context."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,12 +107,12 @@ def finder(length: int, k: int):
             c = _context_hash(prefix, start, size, anchor - start)
             doc = np.searchsorted(offsets, start, "right") - 1
             _, back, times = np.unique(h, return_inverse=True, return_counts=True)
-            yield _contexts(h, c, batch.column(0).to_numpy()[doc], start - offsets[doc], size, anchor - start, times[back] >= OFTEN)
+            yield from _contexts(h, c, batch.column(0).to_numpy()[doc], start - offsets[doc], size, anchor - start, times[back] >= OFTEN, keep_first)
 
     return find
 
 
-def parter(length: int, k: int):
+def parter(length: int, k: int, keep_first: bool):
     """Contexts with their bytes -> the two contexts that each falls into: windows far before the anchor, and the others."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +132,7 @@ def parter(length: int, k: int):
                 h = common.mix(common.span_hash(prefix, from_, to) + common.mix((l << 8 | r).astype(np.uint64)))
                 d = at[ok] - first
                 c = _context_hash(prefix, begin[ok] + first, size, d)
-                yield _contexts(h, c, batch.column("uid").to_numpy()[ok], batch.column("start").to_numpy()[ok] + first, size, d | l << 8 | r << 16, np.ones(len(ok), bool))
+                yield from _contexts(h, c, batch.column("uid").to_numpy()[ok], batch.column("start").to_numpy()[ok] + first, size, d | l << 8 | r << 16, np.ones(len(ok), bool), keep_first)
 
     return part
 
@@ -250,11 +260,13 @@ def removed(docs: DataFrame, length: int = LENGTH, k: int = K, keep_first: bool
     spark = docs.sparkSession
     texts = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     plain = texts.select("uid", "text")
-    found = common.stored(plain.mapInArrow(finder(length, k), CONTEXTS), "op3-contexts", WIDE_ROWS)
+    found = common.stored(plain.mapInArrow(finder(length, k, keep_first), FOUND), "op3-contexts", WIDE_ROWS)
     marks = found.select("uid", "start", "start").toDF(*(x.split()[0] for x in MARKS.split(", "))).limit(0)
     count = found.count()
     while count:
         parts = common.wide_enough(spark, count, ROWS_EACH)
+        marks = marks.union(found.where("mark").select("uid", "start", (F.col("start") + F.col("size")).cast("int")))
+        found = found.where("not mark").drop("mark")
         # rows of hashes that come often somewhere are dealt out by their contexts too
         often = found.where("often").select("h", F.lit(True).alias("spread")).distinct()
         laid = found.drop("often").join(often, "h", "left").withColumn("often", F.coalesce("spread", F.lit(False))).drop("spread")
@@ -274,7 +286,7 @@ def removed(docs: DataFrame, length: int = LENGTH, k: int = K, keep_first: bool
         parts = common.wide_enough(spark, asked.count(), ROWS_EACH // 4)
         compared = alone.repartition(parts, "h").sortWithinPartitions("h", "uid", "start").mapInArrow(comparer(length, keep_first), MARKS)
         marks = marks.union(common.stored(compared, "op3-compared", WIDE_ROWS))
-        found = common.stored(fetched.where(F.col("n") > CROWD).mapInArrow(parter(length, k), CONTEXTS), "op3-contexts", WIDE_ROWS)
+        found = common.stored(fetched.where(F.col("n") > CROWD).mapInArrow(parter(length, k, keep_first), FOUND), "op3-contexts", WIDE_ROWS)
         count = found.count()
     return texts, marks
 
