@@ -91,8 +91,8 @@ def capitalised(c: Column, before: str) -> Column:
 
 #: A number run into letters, unless they make an ordinal; two letters run into a digit.
 NUMBER_BOUNDARIES: Rules = (
-    (r"([0-9]++)(?!(?i:st|nd|rd|th)(?![a-zA-Z]))([a-zA-Z]+)", "$1 $2"),
-    (r"([a-zA-Z]{2,})([0-9])", "$1 $2"),
+    (r"(\p{Nd}++)(?!(?i:st|nd|rd|th)(?![a-zA-Z]))([a-zA-Z]+)", "$1 $2"),
+    (r"([a-zA-Z]{2,})(\p{Nd})", "$1 $2"),
 )
 RN_TO_M: Rules = ((r"(?<=[a-z])rn(?=[a-z])", "m"),)
 STANDALONE_I: Rules = ((r"(?U)(?<!\w)i(?!\w)", "I"),)

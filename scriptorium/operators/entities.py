@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rules
-from scriptorium.functions.text import filled, stripped, sub
+from scriptorium.functions.text import filled, let, stripped, sub
 
 KINDS = ("email", "phone", "date", "url", "currency")
 _EMAIL = r"^[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}$"
@@ -42,40 +42,43 @@ def cleaned(kind: str, x: Column) -> Column:
 
 def first_of_each(values: Column) -> Column:
     """Values whose lower case has not come before, in order; empty ones go."""
-    values = F.filter(values, lambda x: x != "")
-    lower = F.transform(values, F.lower)
-    return F.filter(values, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
+    first = lambda kept, lower: F.filter(kept, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
+    return let(F.filter(values, lambda x: x != ""), lambda kept: let(F.transform(kept, F.lower), lambda lower: first(kept, lower)))
 
 
 def zipcodes(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(matches(c, "zipcode"), lambda x: cleaned("zipcode", x)), lambda x: x != "")))
 
 
-def entity(c: Column, kind: str, whole: bool = False) -> Column:
-    """All entities of a kind.  ``whole`` gives currency amounts; without it, as by default, their symbols only."""
+def entity(c: Column, kind: str, whole: bool = False, zips: Column | None = None) -> Column:
+    """All entities of a kind.  ``whole`` gives currency amounts; without it, as by default, their symbols only.
+
+    ``zips``, if they are known already, are the text's postal codes, which are no phone numbers.
+    """
     if kind == "zipcode":
         return zipcodes(c)
     group = 1 if kind in ("phone", "date") or (kind == "currency" and not whole) else 0
     values = F.transform(matches(c, kind, group), lambda x: cleaned(kind, x))
-    if kind == "phone":
-        values = F.array_except(values, zipcodes(c)) if False else F.filter(values, lambda x: ~F.array_contains(zipcodes(c), x))
-    return first_of_each(values)
+    if kind != "phone":
+        return first_of_each(values)
+    apart = lambda z: first_of_each(F.filter(values, lambda x: ~F.array_contains(z, x)))
+    return let(zipcodes(c), apart) if zips is None else apart(zips)
 
 
 def entity_map(c: Column, whole: bool = False) -> Column:
     """Every kind with its entities; postal codes come first."""
-    pairs = [x for kind in ("zipcode", *KINDS) for x in (F.lit(kind), entity(c, kind, whole))]
-    return F.create_map(*pairs)
+    pairs = lambda z: [F.lit("zipcode"), z, *(x for kind in KINDS for x in (F.lit(kind), entity(c, kind, whole, z)))]
+    return let(zipcodes(c), lambda z: F.create_map(*pairs(z)))
 
 
 def summary(entities: Column) -> Column:
     """KIND: up to five values, a line a kind; a fixed sentence for none."""
-    rows = [
-        F.when(F.size(v) > 0, F.concat(F.lit(kind.upper() + ": "), F.array_join(F.slice(v, 1, 5), ", "), F.when(F.size(v) > 5, "…").otherwise("")))
-        for kind in ("zipcode", *KINDS) for v in (F.element_at(entities, kind),)
-    ]
-    text = F.concat_ws("\n", *rows)
-    return F.when(text == "", "No entities detected.").otherwise(text)
+
+    def row(kind: str, v: Column) -> Column:
+        return F.when(F.size(v) > 0, F.concat(F.lit(kind.upper() + ": "), F.array_join(F.slice(v, 1, 5), ", "), F.when(F.size(v) > 5, "…").otherwise("")))
+
+    text = let(entities, lambda found: F.concat_ws("\n", *(row(kind, F.element_at(found, kind)) for kind in ("zipcode", *KINDS))))
+    return let(text, lambda t: F.when(t == "", "No entities detected.").otherwise(t))
 
 
 def long_form(df: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rules
-from scriptorium.functions.text import blank, by_line, filled, fold, lines, stripped, sub
+from scriptorium.functions.text import blank, by_line, filled, fold, stripped, sub
 from scriptorium.operators.postprocess import split_lines
 
 
@@ -28,10 +28,9 @@ def output_kind(c: Column) -> Column:
 
 
 def plain(c: Column) -> Column:
-    """Paragraphs apart by one blank line, no blank lines within, single spaces."""
-    row = lambda x: sub(stripped(x), r"[ \t]+", " ")
-    paragraph = lambda p: F.array_join(F.filter(F.transform(lines(p), row), lambda x: x != ""), "\n")
-    return F.array_join(F.filter(F.transform(F.split(stripped(filled(c)), r"\n{2,}", -1), paragraph), lambda p: p != ""), "\n\n")
+    """Paragraphs without white space at their ends, apart by one blank line; runs of spaces within become one."""
+    paragraphs = F.transform(F.split(filled(c), r"\n{2,}", -1), lambda p: sub(stripped(p), "  +", " "))
+    return F.array_join(F.filter(paragraphs, lambda p: p != ""), "\n\n")
 
 
 def listed(c: Column) -> Column:

@@ -165,6 +165,72 @@ column_query("list_markers", "notes", lambda: {"out": resolver.list_markers(T())
 column_query("resolve", "documents", lambda: {"out": resolver.resolve(T())})
 column_query("resolve_noisy", "noisy", lambda: {"out": resolver.resolve(cleaner.clean(T()))})
 
+# --- whole chains, line by line: each step's SQL over a line x ---------------------------------------------------------
+
+_NOT_BLANK = lambda x: f"regexp_matches({x}, '\\S')"
+_sql_boundaries = lambda x: sql_sub(_sql_numbers.format(t=x).replace("lambda x:", "lambda w:").replace("(x, '^[0-9]", "(w, '^[0-9]").replace("(x, '^([0-9]", "(w, '^([0-9]").replace("ELSE x END", "ELSE w END"), _SQL_LETTER_DIGIT)
+
+
+def _sql_ambiguous(line: str) -> str:
+    """Digits within mostly alphabetic tokens t, token by token."""
+    inner = sql_sub("t", ("^[^a-zA-Z0-9]+|[^a-zA-Z0-9]+$", ""))
+    share, within = SQL_SHARE(inner), lambda digit, letter: ((f"([a-zA-Z]){digit}([a-zA-Z])", f"\\1{letter}\\2"),) * 2
+    has = lambda pattern: f"regexp_matches({inner}, {q(pattern)})"
+    out = f"CASE WHEN contains({inner}, '0') AND NOT {has('[1-9]')} THEN replace(t, '0', 'O') ELSE t END"
+    out = f"CASE WHEN {has(r'^1' + chr(92) + 'p{L}')} THEN regexp_replace({out}, '^([^1]*)1', '\\1I') WHEN {has(chr(92) + 'p{L}1$')} THEN regexp_replace({out}, '1([^1]*)$', 'l\\1') ELSE {out} END"
+    out = sql_sub(out, *within(1, "l"))
+    out = f"CASE WHEN {has('^5' + chr(92) + 'p{L}.')} AND length({inner}) > 2 THEN regexp_replace({out}, '^([^5]*)5', '\\1S') ELSE {out} END"
+    out = f"CASE WHEN contains({inner}, '6') AND {share} > 0.7 THEN {sql_sub(out, *within(6, 'G'))} ELSE {out} END"
+    kept = f"regexp_matches(t, '^[0-9][0-9.,]+$') OR contains(t, '@') OR contains(t, '://') OR length({inner}) < 2 OR {share} < 0.5"
+    return f"array_to_string(list_transform(regexp_extract_all({line}, '\\S+'), lambda t: CASE WHEN {kept} THEN t ELSE {out} END), ' ')"
+
+
+def _sql_sentence_case(line: str) -> str:
+    raised = f"array_to_string(list_transform(regexp_extract_all({line}, '[.!?]\\s[a-z]|(?s:.)'), lambda g: CASE WHEN length(g) = 3 THEN upper(g) ELSE g END), '')"
+    return f"CASE WHEN regexp_matches({raised}, '^\\p{{Ll}}') THEN upper(substr({raised}, 1, 1)) || substr({raised}, 2) ELSE {raised} END"
+
+
+def _sql_clean_line() -> str:
+    line = sql_sub("x", (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""))
+    line = _sql_ligatures.replace("text", line, 1)
+    line = sql_sub(line, _noise, _noise, (r"([\p{L}\p{N}_])-\s{2,}([\p{L}\p{N}_])", r"\1\2"), *_SQL_EXCLAMATION)
+    line = sql_sub(_sql_boundaries(_sql_ambiguous(line)), (f"({rules.MERGED_PREFIXES})([A-Z][a-z])", r"\1 \2"), ("([a-z])([A-Z][a-z])", r"\1 \2"))
+    return "regexp_extract(x, '^\\s*') || " + sql_sub(SQL_STRIP(line), (r"[ \t]+", " "))
+
+
+def _sql_cleaned(of: str) -> str:
+    """doc_id and the cleaned text: lines that the steps empty go, white-space lines stay empty."""
+    lines = f"SELECT doc_id, text, list_transform(string_split(text, chr(10)), lambda x: CASE WHEN {_NOT_BLANK('x')} THEN {_sql_clean_line()} ELSE NULL END) AS cs, string_split(text, chr(10)) AS ls FROM ({of}) o"
+    rows = "list_transform(list_filter(range(1, len(ls) + 1), lambda i: cs[i] IS NULL OR regexp_matches(cs[i], '\\S')), lambda i: coalesce(cs[i], ''))"
+    return f"SELECT doc_id, CASE WHEN {_NOT_BLANK('text')} THEN {sql_sub(f'array_to_string({rows}, chr(10))', (NEWLINES, chr(10) * 2), (r'^' + chr(92) + 'n+|' + chr(92) + 'n+$', ''))} ELSE '' END AS out FROM ({lines}) l"
+
+
+def _sql_resolved(of: str) -> str:
+    """doc_id and the resolved text of rows (doc_id, text)."""
+    line = sql_sub(sql_sub("x", _RN, _RN), *((p.removeprefix("(?iuU)"), r) for p, r in rules.RESOLVER_WORDS), flags="gi")
+    line = sql_sub(line, ("([.!?])([A-Z][a-z])", r"\1 \2"), ("(,)([A-Z][a-z]{2,})", r"\1 \2"))
+    line = sql_sub(line, (r"\s+([.,!?;:])", r"\1"), ("([.,!?;:])([A-Za-z0-9])", r"\1 \2"), ("([.!?]){2,}", r"\1"), (r"\(\s+", "("), (r"\s+\)", ")"), _LONE_I, _LONE_I)
+    rows = f"SELECT doc_id, text, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM ({of}) o"
+    fixed = f"SELECT doc_id, text, i, x AS raw, {line} AS x FROM ({rows}) r"
+    cased = f"SELECT doc_id, text, i, raw, {_sql_sentence_case('x')} AS x FROM ({fixed}) f"
+    whole = f"SELECT doc_id, text, string_agg(CASE WHEN {_NOT_BLANK('raw')} THEN {_sql_boundaries('x')} ELSE '' END, chr(10) ORDER BY i) AS y FROM ({cased}) c GROUP BY ALL"
+    marked = sql_sub("y", (r"([\p{L}\p{N}_])\s+([0-9]{1,2}[.)]\s+[A-Z])", "\\1\n\\2"), (r"([\p{L}\p{N}_])\s+([-•*]\s+[A-Z])", "\\1\n\\2"))
+    return f"SELECT doc_id, CASE WHEN {_NOT_BLANK('text')} THEN {marked} ELSE text END AS out FROM ({whole}) w"
+
+
+_SQL_EXCLAMATION = (("([a-z])!([a-z])", r"\1l\2"),) * 2
+_oracles["ambiguous"] = f"SELECT doc_id, {sql_lines('text', _sql_ambiguous('x'))} AS out FROM ({NOISY_SQL}) s"
+_oracles["sentence_case"] = f"SELECT doc_id, {sql_lines('text', _sql_sentence_case('x'))} AS out FROM ({DOCS_SQL}) s"
+_oracles["clean"] = _sql_cleaned(DOCS_SQL)
+_oracles["clean_noisy"] = _sql_cleaned(NOISY_SQL)
+_oracles["resolve"] = _sql_resolved(DOCS_SQL)
+_oracles["resolve_noisy"] = _sql_resolved(f"SELECT doc_id, out AS text FROM ({_sql_cleaned(NOISY_SQL)}) n")
+for _name, _more in (("word_spacing", ((r"([)\]])([A-Za-z])", r"\1 \2"),)), ("pdf_spacing", ())):
+    _spaced = sql_sub(_sql_boundaries(sql_sub("x", ("([.!?])([A-Za-z])", r"\1 \2"), ("([,;:])([A-Za-z])", r"\1 \2"), *_more)), ("  +", " "))
+    _oracles[_name] = f"SELECT doc_id, {sql_lines('text', f'CASE WHEN {_NOT_BLANK(chr(120))} THEN {_spaced} ELSE x END')} AS out FROM ({LETTERS_SQL}) s"
+_labelled = sql_sub("text", (r"(^|[^\n])([A-Z][a-zA-Z\s]{1,20}:)", "\\1\n\\2"))
+_oracles["format_form"] = f"SELECT doc_id, {sql_sub(sql_lines(_labelled, SQL_STRIP('x')), (NEWLINES, chr(10) * 2), (r'^' + chr(92) + 'n+|' + chr(92) + 'n+$', ''))} AS out FROM ({LETTERS_SQL}) s"
+
 # --- post-processing -----------------------------------------------------------------------------------------------
 
 _sql_kind = lambda p: f"len(regexp_extract_all(text, {q('(?i)' + p.removeprefix('(?iuU)'))}))"
@@ -213,11 +279,12 @@ def post_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- layout --------------------------------------------------------------------------------------------------------
 
-_sql_row = sql_sub(sql_sub("y", (r"^\s+|\s+$", "")), (r"[ \t]+", " "))
-column_query(
-    "format_plain", "letters", lambda: {"out": formatting.plain(T())},
-    f"array_to_string(list_filter(list_transform(regexp_split_to_array({SQL_STRIP('text')}, '\\n{{2,}}'), lambda p: array_to_string(list_filter(list_transform(string_split(p, chr(10)), lambda y: {_sql_row}), lambda y: y <> ''), chr(10))), lambda p: p <> ''), chr(10) || chr(10)) AS out",
-)
+_sql_paragraphs = f"list_transform(regexp_split_to_array(text, '\\n{{2,}}'), lambda p: {sql_sub(SQL_STRIP('p'), (' {2,}', ' '))})"
+column_query("format_plain", "letters", lambda: {"out": formatting.plain(T())}, f"array_to_string(list_filter({_sql_paragraphs}, lambda p: p <> ''), chr(10) || chr(10)) AS out")
+# indented lines, tabs and white-space lines stay within a paragraph
+_ragged = lambda: F.replace(F.replace(T(), F.lit("Write "), F.lit("  \n \tWrite  ")), F.lit(" is "), F.lit("\n    is\t\tnow   "))
+_sql_ragged = "replace(replace(text, 'Write ', '  ' || chr(10) || ' ' || chr(9) || 'Write  '), ' is ', chr(10) || '    is' || chr(9) || chr(9) || 'now   ')"
+column_query("format_ragged", "letters", lambda: {"out": formatting.plain(_ragged())}, f"array_to_string(list_filter({_sql_paragraphs.replace('(text,', f'({_sql_ragged},')}, lambda p: p <> ''), chr(10) || chr(10)) AS out")
 column_query("format_list", "notes", lambda: {"out": formatting.listed(T())}, sql_sub(sql_lines("text", "regexp_replace(x, '\\s+$', '')"), (NEWLINES, "\n\n"), (r"^\n+|\n+$", "")) + " AS out")
 column_query("format_form", "letters", lambda: {"out": formatting.form(T())})
 _low = "lower(text)"
@@ -241,11 +308,12 @@ def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _clean_sql = sql_sub("text", ("[|]", "I"), ("  +", " "))
 _kept_sql = f"least({sql_words(_clean_sql)}::double / greatest({sql_words('text')}, 1), 1.0)"
+_places = lambda x: f"floor(({x}) * 10000 + 0.5) / 10000"
 
 
-@query(f"""SELECT doc_id, {sql_words("text")} AS raw_words, {sql_words(_clean_sql)} AS cleaned_words, {sql_score("text")} AS raw_quality, {sql_score(_clean_sql)} AS cleaned_quality,
- {sql_score(_clean_sql)} - {sql_score("text")} AS improvement, {sql_score(_clean_sql)} >= 0.85 AS target_met, {_kept_sql} AS word_retention,
- CASE WHEN {sql_score(_clean_sql)} * 0.7 + {_kept_sql} * 0.3 >= 0.9 THEN 'green' WHEN {sql_score(_clean_sql)} * 0.7 + {_kept_sql} * 0.3 >= 0.75 THEN 'amber' ELSE 'red' END AS bucket FROM documents""")
+@query(f"""SELECT doc_id, {sql_words("text")} AS raw_words, {sql_words(_clean_sql)} AS cleaned_words, {_places(sql_score("text"))} AS raw_quality, {_places(sql_score(_clean_sql))} AS cleaned_quality,
+ {_places(sql_score(_clean_sql) + " - " + sql_score("text"))} AS improvement, {sql_score(_clean_sql)} >= 0.85 AS target_met, {_places(_kept_sql)} AS word_retention,
+ CASE WHEN {_places(sql_score(_clean_sql))} * 0.7 + {_places(_kept_sql)} * 0.3 >= 0.9 THEN 'green' WHEN {_places(sql_score(_clean_sql))} * 0.7 + {_places(_kept_sql)} * 0.3 >= 0.75 THEN 'amber' ELSE 'red' END AS bucket FROM documents""")
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = text.fold(T(), (("[|]", "I"), ("  +", " ")))
     columns = quality.report(T(), clean)
@@ -288,20 +356,52 @@ for _of in ("documents", "letters"):
     _entity_query(f"entity_phone_{_of}", _of, "phone", _sql_entity(_of, rules.ENTITY["phone"], _phone[0], _phone[1] + f" AND (doc_id, value) NOT IN (SELECT (doc_id, value) FROM ({_zips}) z)", 1))
 
 
-@query()
+_date, _url = "regexp_replace(raw, '[.,;:]+$', '')", r"regexp_replace(raw, '[.,;:!?)\]>]+$', '')"
+_KIND_SQL = {
+    "zipcode": _sql_zip,
+    "email": _sql_entity("letters", rules.ENTITY["email"], "lower(raw)", _email_ok),
+    "phone": _oracles["entity_phone_letters"],
+    "date": _oracles["entity_date"],
+    "url": _oracles["entity_url"],
+}
+
+
+def _sql_kinds(currency: str) -> str:
+    return " UNION ALL ".join(f"SELECT doc_id, {q(kind)} AS etype, ord, value FROM ({sql}) k" for kind, sql in (_KIND_SQL | {"currency": _oracles[currency]}).items())
+
+
+@query(_sql_kinds("entity_currency_whole"))
 def entity_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.long_form(source(spark, sf_dir, "letters"), whole=True)
 
 
-@query()
+@query(f"""WITH k AS (SELECT doc_id, etype, count(*) AS n, list(value ORDER BY ord) AS v FROM ({_sql_kinds("entity_currency")}) e GROUP BY 1, 2),
+s AS (SELECT doc_id, string_agg(upper(etype) || ': ' || array_to_string(v[1:5], ', ') || CASE WHEN n > 5 THEN '…' ELSE '' END, chr(10) ORDER BY list_position(['zipcode', 'email', 'phone', 'date', 'url', 'currency'], etype)) AS summary FROM k GROUP BY 1)
+SELECT doc_id, coalesce(summary, 'No entities detected.') AS summary FROM ({LETTERS_SQL}) l LEFT JOIN s USING (doc_id)""")
 def entity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source(spark, sf_dir, "letters").select("doc_id", entities.summary(entities.entity_map(T())).alias("summary"))
 
 
-@query(f"""SELECT doc_id, 'email' AS etype, lower(m) AS value, strpos(text, m)::int - 1 AS "start", (strpos(text, m) - 1 + length(m))::int AS "end"
-FROM (SELECT doc_id, text, unnest(regexp_extract_all(text, {q(rules.ENTITY["email"])})) AS m FROM ({LETTERS_SQL}) l) s""")
+def _sql_positions() -> str:
+    """Matches with their places: a match starts after the pieces and the matches before it."""
+    change = {
+        "email": "lower(raw)", "phone": _phone[0], "date": r"regexp_replace(raw, '[.,;:]+$', '')", "url": r"regexp_replace(raw, '[.,;:!?)\]>]+$', '')",
+        "currency": r"regexp_replace(trim(raw), '([$€£¥₹])\s+(\d)', '\1\2', 'g')", "zipcode": "raw",
+    }
+    keep = {"email": _email_ok, "phone": _phone[1], "date": "value <> ''", "url": "starts_with(value, 'http')", "currency": "value <> ''", "zipcode": _zip_ok}
+    parts = []
+    for kind, pattern in rules.ENTITY.items():
+        found = q("(?i)" + pattern)
+        places = f"SELECT doc_id, regexp_extract_all(text, {found}) AS ms, regexp_split_to_array(text, {found}) AS ps FROM ({LETTERS_SQL}) l"
+        each = f"SELECT doc_id, unnest(ms) AS raw, generate_subscripts(ms, 1) AS i, ms, ps FROM ({places}) p"
+        at = f"SELECT doc_id, raw, list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS place FROM ({each}) e"
+        parts.append(f"SELECT doc_id, {q(kind)} AS etype, value, place::int AS \"start\", (place + length(raw))::int AS \"end\" FROM (SELECT *, {change[kind]} AS value FROM ({at}) a) v WHERE {keep[kind]}")
+    return " UNION ALL ".join(parts)
+
+
+@query(_sql_positions())
 def entity_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entities.with_positions(source(spark, sf_dir, "letters")).where("etype = 'email'")
+    return entities.with_positions(source(spark, sf_dir, "letters"))
 
 
 # --- page measures, made from columns of like range -----------------------------------------------------------------

@@ -48,7 +48,7 @@ CASES = [
     (postprocess.document_kind, "Dear Sam ... With love", "letter"),
     (postprocess.document_kind, "Q1 wealth", "notes"),
     (postprocess.names, "nikkil and ARJNN", "Nikhil and Arjun"),
-    (formatting.plain, " a  b \n c\n\n\n d ", "a b\nc\n\nd"),
+    (formatting.plain, " a  b \n   c\t\td\n \ne\n\n\n \n\n f ", "a b \n c\t\td\n \ne\n\nf"),
     (formatting.listed, "\na \n\n\nb", "a\n\nb"),
     (formatting.form, "x Name: y Date: z", "x\nName: y\nDate: z"),
     (formatting.output_kind, "1. a\n2. b\n3. c\nd", "list"),
