@@ -53,7 +53,9 @@ WIDTH = 32
 #: Words whose kernels are worked out together.
 BLOCK = 4096
 #: Word values that a worker remembers.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
+#: Bytes of text that are scored at once.
+SLICE = 1 << 20
 
 _not_letters = regex.compile(r"[^\p{L}\p{M}\n]+")
 
@@ -91,7 +93,7 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def kernel_pairs(a: np.ndarray, b: np.ndarray, block: int = 4096) -> np.ndarray:
+def kernel_pairs(a: np.ndarray, b: np.ndarray, block: int = 1024) -> np.ndarray:
     """The kernel of many pairs, in blocks cut to the longest words they hold."""
     out = np.zeros(len(a))
     size = np.maximum((a != 0).sum(1), (b != 0).sum(1))
@@ -280,8 +282,8 @@ class Scorer:
         # a document's highest values: words below the bias say nothing, most words lie there
         some = value > self.machine.bias
         pick = some[back]
-        seen = np.unique(np.stack([doc[pick], back[pick]], 1), axis=0) if pick.any() else np.zeros((0, 2), np.int64)
-        return top_three(value[seen[:, 1]], seen[:, 0], len(column), self.machine.bias)
+        seen = np.unique(doc[pick] * max(1, len(distinct)) + back[pick])
+        return top_three(value[seen % max(1, len(distinct))], seen // max(1, len(distinct)), len(column), self.machine.bias)
 
 
 def _solve(x: np.ndarray, plus: np.ndarray, minus: np.ndarray) -> tuple[np.ndarray, float]:
@@ -395,7 +397,7 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer.of(shared.value)
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", SLICE):
             chance = shared.value.chance(scorer.tops(batch.column(2)))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(chance)], names=["uid", "doc_id", "score"])
 
@@ -417,7 +419,7 @@ def accepted(docs: DataFrame, labels: DataFrame, learn_from: DataFrame) -> DataF
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer.of(shared.value)
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", SLICE):
             yield batch.filter(pa.array(shared.value.chance(scorer.tops(batch.column(at))) < 0.5))
 
     return docs.mapInArrow(keep, docs.schema)

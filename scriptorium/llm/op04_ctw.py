@@ -38,7 +38,7 @@ DEPTH, WORDS = 5, 800_000
 TOP = 2
 #: Bytes of text whose distinct strings are asked for together; texts a shard, if the session's partitions are fewer.
 BLOCK, SHARD_TEXTS = 8 << 20, 8000
-#: Bytes of text that a task scores at once.
+#: Bytes of text whose strings are in memory at once.
 SLICE = 1 << 20
 FOLDS, HELD = 5, 1
 END = 10
@@ -101,7 +101,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     """The scan's rows (uid first, text last) cut where a block ends; blocks depend on the rows' order alone."""
     before = 0
-    for batch in common.slices(batches, "text"):
+    for batch in common.slices(batches, "text", SLICE):
         size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
         number = (before + np.cumsum(size) - size) // BLOCK
         before += int(size.sum())

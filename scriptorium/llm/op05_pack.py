@@ -31,7 +31,7 @@ SALTS, SALT_ROWS = 256, 50_000_000
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Chunks whose ids a worker remembers; beyond that it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 #: What Python's split() takes for white space and the tokenizer does not.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
@@ -102,7 +102,7 @@ def token_ids(text: str, path: str) -> np.ndarray:
 
 def cutter(path: str, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", 1 << 20):
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = token_ids(text or "", path)
