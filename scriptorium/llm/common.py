@@ -59,18 +59,39 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _members(ids: DataFrame, column: str, bits: int) -> DataFrame:
+    """The Bloom filter of one hash of ``ids``, as words of 64 bits; it has at most bits / 64 rows."""
+    place = ids.select(F.pmod(F.xxhash64(column), F.lit(bits)).alias("__place"))
+    words = place.select(F.shiftright("__place", 6).alias("__word"), F.expr("shiftleft(1L, cast(__place & 63 as int))").alias("__bit"))
+    return stored(words.groupBy("__word").agg(F.bit_or("__bit").alias("__bits")).coalesce(8), "members")
+
+
+def _marked(rows: DataFrame, words: DataFrame, column: str, bits: int) -> DataFrame:
+    """``rows`` with __maybe: whether the filter may hold their id."""
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    out = rows.withColumn("__place", place).withColumn("__word", F.shiftright("__place", 6)).join(F.broadcast(words), "__word", "left")
+    hit = F.coalesce(F.expr("(shiftright(__bits, cast(__place & 63 as int)) & 1) = 1"), F.lit(False))
+    return out.select(*rows.columns, hit.alias("__maybe"))
+
+
 def among(rows: DataFrame, ids: DataFrame, column: str, bits: int = 1 << 24) -> DataFrame:
     """Rows whose id may be among ``ids``: a Bloom filter of one hash, of ``bits`` bits whatever the input's size.
 
     The broadcast side has at most bits / 64 rows.  It only saves shuffling: the join that follows drops the rows
     let through by chance.
     """
-    place = F.pmod(F.xxhash64(column), F.lit(bits))
-    bit = F.shiftright(F.col("__place"), 6).alias("__word")
-    words = ids.select(place.alias("__place")).select(bit, F.expr("shiftleft(1L, cast(__place & 63 as int))").alias("__bit"))
-    words = stored(words.groupBy("__word").agg(F.bit_or("__bit").alias("__bits")).coalesce(8), "members")
-    marked = rows.withColumn("__place", place).withColumn("__word", F.shiftright("__place", 6)).join(F.broadcast(words), "__word")
-    return marked.where(F.expr("(shiftright(__bits, cast(__place & 63 as int)) & 1) = 1")).select(rows.columns)
+    return _marked(rows, _members(ids, column, bits), column, bits).where("__maybe").drop("__maybe")
+
+
+def without(docs: DataFrame, drop: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """``docs`` without the rows whose number in the scan (monotonically_increasing_id) is among the column uid of ``drop``.
+
+    Only rows that a Bloom filter of ``drop`` may hold are shuffled; the others stay where they are read.
+    """
+    drop = stored(drop.select(F.col("uid").alias("__uid")), "dropped")
+    rows = _marked(docs.withColumn("__uid", F.monotonically_increasing_id()), _members(drop, "__uid", bits), "__uid", bits)
+    asked = rows.where("__maybe").join(drop, "__uid", "left_anti")
+    return rows.where("not __maybe").select(docs.columns).union(asked.select(docs.columns))
 
 
 def wide_enough(spark: SparkSession, rows: int, rows_each: int) -> int:

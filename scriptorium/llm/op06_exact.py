@@ -1,6 +1,6 @@
 """Exact dedup: a tree merge of sorted digest runs.
 
-Every row is reduced to a digest of its normalised text.  Each of FAN ** rounds parts sorts its digests
+Every row is reduced to a digest of its normalised text.  Each of fan ** rounds parts sorts its digests
 into a run with one entry a digest.  In every binomial round the parts of a group that differ in one
 digit of their number exchange pieces of their runs: an entry moves to the member whose digit is the
 digest's, and each member merges the sorted runs it receives, verifying that equal digests carry equal
@@ -15,18 +15,17 @@ empty table gives an empty result; columns other than doc_id and text are neithe
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Parts that exchange in one round, rows that a part starts with about.
-FAN, PART_ROWS = 8, 200_000
+#: Parts that exchange in one round at least and at most, and rows that a part starts with about.
+FAN, MOST_FAN, PART_ROWS = 8, 32, 2_000_000
 RUN = "part int, digest binary, n_bytes long, check long, n_chars long, doc_id long, uid long, n long"
 
 
@@ -76,17 +75,29 @@ def exchange(runs: DataFrame, dest, parts: int) -> DataFrame:
     return sent.sortWithinPartitions(*order).mapInArrow(merge, RUN)
 
 
+def tree(rows: int) -> tuple[int, int]:
+    """Rounds, and parts that exchange in one: few rounds of many rather than the reverse, as every round moves all runs."""
+    parts = max(FAN**2, -(-rows // PART_ROWS))
+    rounds = 2
+    while MOST_FAN**rounds < parts:
+        rounds += 1
+    fan = FAN
+    while fan**rounds < parts:
+        fan += 1
+    return rounds, fan
+
+
 def exact_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Digest rows joined with the row that stays of their group (keep_uid, keep_id, group_size)."""
     rows = common.stored(digests(docs), "op6-digests")
-    rounds = max(2, math.ceil(math.log(max(1, rows.count() / PART_ROWS), FAN)))
-    parts = FAN**rounds
+    rounds, fan = tree(rows.count())
+    parts = fan**rounds
     rows = rows.withColumn("part", common.salt(F.col("uid"), parts))
     runs = common.stored(exchange(rows, F.col("part"), parts), "op6-runs")
     merged, home = runs, F.conv(F.substring(F.hex("digest"), 1, 12), 16, 10).cast("long")
     for r in range(rounds):
-        weight = FAN**r
-        digit, own = (F.pmod(F.floor(x / weight), F.lit(FAN)).cast("int") for x in (home, F.col("part")))
+        weight = fan**r
+        digit, own = (F.pmod(F.floor(x / weight), F.lit(fan)).cast("int") for x in (home, F.col("part")))
         merged = exchange(merged, (F.col("part") + (digit - own) * weight).cast("int"), parts)
     best = merged.select("digest", F.col("doc_id").alias("keep_id"), F.col("uid").alias("keep_uid"), F.col("n").alias("group_size"))
     best = common.stored(best, "op6-best")
@@ -101,11 +112,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of repeated rows one stays."""
+    """The rows of ``docs`` that stay, with all their columns; of repeated rows one stays.
+
+    ``docs`` should be a table's scan, whose rows come in the same partitions whenever they are read again.
+    """
     _, out = exact_groups(docs)
-    kept = out.where("uid = keep_uid").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of"))
-    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), common.SPACES, "")
-    rows = docs.withColumn("__digest", F.unhex(F.sha2(text, 256)))
-    rows = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__of")), "left_semi")
-    again = Window.partitionBy("doc_id", "__digest").orderBy(F.length("text").desc_nulls_last())
-    return rows.withColumn("__nth", F.row_number().over(again)).where("__nth = 1").select(docs.columns)
+    return common.without(docs, out.where("uid <> keep_uid").select("uid"))

@@ -462,5 +462,4 @@ def report(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """One document of each class, with all its columns; documents without words stay."""
-    drop = classes(docs).where("not kept").select(F.col("uid").alias("__uid"))
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(drop, "__uid", "left_anti").select(docs.columns)
+    return common.without(docs, classes(docs).where("not kept").select("uid"))

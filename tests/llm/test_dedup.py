@@ -51,6 +51,12 @@ def test_exact(spark, tmp_path, rows):
     assert kept.columns == docs.columns and kept.count() == len(groups)
 
 
+def test_tree_of_runs():
+    for rows in (0, 50_000, 10**8, 10**9, 3 * 10**10, 10**12):
+        rounds, fan = op06_exact.tree(rows)
+        assert rounds >= 2 and op06_exact.FAN <= fan <= op06_exact.MOST_FAN and fan**rounds * op06_exact.PART_ROWS >= rows
+
+
 def test_jaccard(spark, tmp_path, rows):
     docs = docs_of(spark, tmp_path, rows)
     got = op10_jaccard.classes(docs).collect()
