@@ -66,10 +66,10 @@ def _members(ids: DataFrame, column: str, bits: int) -> DataFrame:
     return stored(words.groupBy("__word").agg(F.bit_or("__bit").alias("__bits")).coalesce(8), "members")
 
 
-def _marked(rows: DataFrame, words: DataFrame, column: str, bits: int) -> DataFrame:
-    """``rows`` with __maybe: whether the filter may hold their id."""
+def _marked(rows: DataFrame, words: DataFrame, column: str, bits: int, how: str) -> DataFrame:
+    """``rows`` with __maybe: whether the filter may hold their id; an inner join leaves most of the others out at once."""
     place = F.pmod(F.xxhash64(column), F.lit(bits))
-    out = rows.withColumn("__place", place).withColumn("__word", F.shiftright("__place", 6)).join(F.broadcast(words), "__word", "left")
+    out = rows.withColumn("__place", place).withColumn("__word", F.shiftright("__place", 6)).join(F.broadcast(words), "__word", how)
     hit = F.coalesce(F.expr("(shiftright(__bits, cast(__place & 63 as int)) & 1) = 1"), F.lit(False))
     return out.select(*rows.columns, hit.alias("__maybe"))
 
@@ -80,7 +80,7 @@ def among(rows: DataFrame, ids: DataFrame, column: str, bits: int = 1 << 24) ->
     The broadcast side has at most bits / 64 rows.  It only saves shuffling: the join that follows drops the rows
     let through by chance.
     """
-    return _marked(rows, _members(ids, column, bits), column, bits).where("__maybe").drop("__maybe")
+    return _marked(rows, _members(ids, column, bits), column, bits, "inner").where("__maybe").drop("__maybe")
 
 
 def without(docs: DataFrame, drop: DataFrame, bits: int = 1 << 24) -> DataFrame:
@@ -89,7 +89,7 @@ def without(docs: DataFrame, drop: DataFrame, bits: int = 1 << 24) -> DataFrame:
     Only rows that a Bloom filter of ``drop`` may hold are shuffled; the others stay where they are read.
     """
     drop = stored(drop.select(F.col("uid").alias("__uid")), "dropped")
-    rows = _marked(docs.withColumn("__uid", F.monotonically_increasing_id()), _members(drop, "__uid", bits), "__uid", bits)
+    rows = _marked(docs.withColumn("__uid", F.monotonically_increasing_id()), _members(drop, "__uid", bits), "__uid", bits, "left")
     asked = rows.where("__maybe").join(drop, "__uid", "left_anti")
     return rows.where("not __maybe").select(docs.columns).union(asked.select(docs.columns))
 
