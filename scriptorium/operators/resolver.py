@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rules
-from scriptorium.functions.text import NUMBER_BOUNDARIES, RN_TO_M, STANDALONE_I, Rules, blank, by_line, capitalised, filled, fold, fold_where_any, let
+from scriptorium.functions.text import NUMBER_BOUNDARIES, RN_TO_M, STANDALONE_I, Rules, blank, by_line, capitalised, filled, fold, fold_where_any, let, raised_letter
 
 RUN_ON: Rules = (("([.!?])([A-Z][a-z])", "$1 $2"), ("(,)([A-Z][a-z]{2,})", "$1 $2"))
 PUNCTUATION: Rules = (
@@ -37,7 +37,7 @@ def standalone_i(c: Column) -> Column:
 
 
 def sentence_case(c: Column) -> Column:
-    return capitalised(c, r"(?U:[.!?]\s)")
+    return capitalised(c, r"(?U:[.!?]\s)", raised_letter)
 
 
 def list_markers(c: Column) -> Column:

@@ -66,6 +66,24 @@ def test_golden(spark, n):
     assert row.out == wanted
 
 
+def test_sentence_case_raises_each_first_letter_as_its_sql_does(spark):
+    import unicodedata
+
+    import duckdb
+
+    from scriptorium.plans import catalog
+
+    small = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Ll"]
+    rows = [(i, f"{c}b. ß x\n{c}") for i, c in enumerate(small)]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents AS SELECT * FROM (VALUES " + ", ".join(f"({i}, {catalog.q(t)})" for i, t in rows) + ") v(doc_id, text)")
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, operator in (("sentence_case", lambda c: text.by_line(c, resolver.sentence_case)), ("resolve", resolver.resolve)):
+        got = {r.doc_id: r.out for r in frame.select("doc_id", operator(F.col("text")).alias("out")).collect()}
+        wanted = dict(db.execute(catalog.oracle_sql()[name]).fetchall())
+        assert got == wanted and got[small.index("ß")] == "ẞb. ß x\nẞ"
+
+
 def test_scores(spark):
     rows = spark.createDataFrame([("ab 1",), ("",), (None,), ("a\tb",), ("X Y Z ok ok ok",)], "text string")
     got = rows.select(text.score(F.col("text")).alias("s"), text.noisy(F.coalesce("text", F.lit(""))).alias("n")).collect()
