@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rules
-from scriptorium.functions.text import NUMBER_BOUNDARIES, Rules, blank, by_line, filled, fold, let, letters, stripped, sub
+from scriptorium.functions.text import NUMBER_BOUNDARIES, Rules, blank, by_line, filled, fold, let, letters, stripped, sub, where_found
 
 LONE_NOISE: Rules = ((r"(?U)(?<!\S)[^a-zA-Z0-9$€£¥₹.,!?;:'\-\"](?!\S)", ""),)
 HYPHEN_BREAK: Rules = ((r"(?U)(\w)-\s{2,}(\w)", "$1$2"),)
@@ -18,9 +18,12 @@ def control_chars(c: Column) -> Column:
 
 
 def ligatures(c: Column) -> Column:
-    for wrong, right in rules.LIGATURES.items():
-        c = F.replace(c, F.lit(wrong), F.lit(right))
-    return c
+    def change(c: Column) -> Column:
+        for wrong, right in rules.LIGATURES.items():
+            c = F.replace(c, F.lit(wrong), F.lit(right))
+        return c
+
+    return where_found(c, f"[{''.join(rules.LIGATURES)}]", change)
 
 
 def lone_noise(c: Column) -> Column:
@@ -33,26 +36,24 @@ def hyphen_break(c: Column) -> Column:
 
 def exclamation(c: Column) -> Column:
     """! for l or I inside words; tokens that are nothing but ! have no letter beside them and stay."""
-    return fold(c, rules.EXCLAMATION)
+    return where_found(c, "!", lambda x: fold(x, rules.EXCLAMATION))
 
 
 def number_boundaries(c: Column) -> Column:
-    return fold(c, NUMBER_BOUNDARIES)
+    return where_found(c, r"\p{Nd}", lambda x: fold(x, NUMBER_BOUNDARIES))
 
 
 def merged_words(c: Column) -> Column:
-    return fold(c, MERGED_WORDS)
+    return where_found(c, "[a-zA-Z][A-Z][a-z]", lambda x: fold(x, MERGED_WORDS))
 
 
 def ambiguous(c: Column) -> Column:
     """Digits that stand for letters within mostly alphabetic tokens; tokens are joined by single spaces."""
     tokens = F.regexp_extract_all(c, F.lit(r"(?U)\S+"), F.lit(0))
     inner = lambda t: sub(t, "^[^a-zA-Z0-9]+|[^a-zA-Z0-9]+$")
-    seen = F.transform(tokens, lambda t: F.struct(t.alias("tok"), inner(t).alias("inner")))
-    rated = F.transform(seen, lambda s: F.struct(s["tok"].alias("tok"), s["inner"].alias("inner"), (letters(s["inner"]) / F.greatest(F.length(s["inner"]), F.lit(1))).alias("share")))
+    share_of = lambda inside: letters(inside) / F.greatest(F.length(inside), F.lit(1))
 
-    def changed(s: Column) -> Column:
-        tok, inside, share = s["tok"], s["inner"], s["share"]
+    def changed(tok: Column, inside: Column, share: Column) -> Column:
         kept = tok.rlike(r"^[0-9][0-9.,]+$") | tok.contains("@") | tok.contains("://") | (F.length(inside) < 2) | (share < 0.5)
         out = F.when(inside.contains("0") & ~inside.rlike("[1-9]"), F.replace(tok, F.lit("0"), F.lit("O"))).otherwise(tok)
         out = F.when(inside.rlike(r"^1\p{L}"), sub(out, "^([^1]*)1", "$1I")).when(inside.rlike(r"\p{L}1$"), sub(out, "1([^1]*)$", "l$1")).otherwise(out)
@@ -61,7 +62,9 @@ def ambiguous(c: Column) -> Column:
         out = F.when(inside.contains("6") & (share > 0.7), sub(out, "(?<=[a-zA-Z])6(?=[a-zA-Z])", "G")).otherwise(out)
         return F.when(kept, tok).otherwise(out)
 
-    return F.array_join(F.transform(rated, changed), " ")
+    # only tokens with one of these digits can change
+    rated = lambda t: let(inner(t), lambda inside: let(share_of(inside), lambda share: changed(t, inside, share)))
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike("[0156]"), rated(t)).otherwise(t)), " ")
 
 
 def rebuild_paragraphs(c: Column) -> Column:

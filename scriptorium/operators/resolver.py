@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rules
-from scriptorium.functions.text import NUMBER_BOUNDARIES, RN_TO_M, STANDALONE_I, Rules, blank, by_line, capitalised, filled, fold, fold_where_any, let, raised_letter
+from scriptorium.functions.text import NUMBER_BOUNDARIES, RN_TO_M, STANDALONE_I, Rules, blank, by_line, capitalised, filled, fold, fold_where_any, let, raised_letter, where_found
 
 RUN_ON: Rules = (("([.!?])([A-Z][a-z])", "$1 $2"), ("(,)([A-Z][a-z]{2,})", "$1 $2"))
 PUNCTUATION: Rules = (
@@ -44,9 +44,13 @@ def list_markers(c: Column) -> Column:
     return fold(c, LIST_MARKERS)
 
 
+def number_boundaries(c: Column) -> Column:
+    return where_found(c, r"\p{Nd}", lambda x: fold(x, NUMBER_BOUNDARIES))
+
+
 def resolve_line(line: Column) -> Column:
     fixed = sentence_case(standalone_i(punctuation(run_on(word_fixes(rn_to_m(line))))))
-    return F.when(blank(line), F.lit("")).otherwise(fold(fixed, NUMBER_BOUNDARIES))
+    return F.when(blank(line), F.lit("")).otherwise(number_boundaries(fixed))
 
 
 def resolve(c: Column) -> Column:

@@ -84,6 +84,23 @@ def test_sentence_case_raises_each_first_letter_as_its_sql_does(spark):
         assert got == wanted and got[small.index("ß")] == "ẞb. ß x\nẞ"
 
 
+def test_word_rules_share_letters_and_boundaries(spark):
+    from scriptorium.functions import rules
+
+    assert all(t.count(r"\b") <= 2 for t in text.any_of(rules.RESOLVER_WORDS) + text.any_of(rules.MERGED))
+    given = ["tbe aud 1t G0 xtbe", "th e a nd t0 fo110wing", "nothing here", "Robb!ns Mazs! fatherof economics", "ſ0 d0", "asmartwatch inthe"]
+    frame = spark.createDataFrame([(g,) for g in given], "text string")
+    for table in (rules.RESOLVER_WORDS, rules.POST_WORDS, rules.ACADEMIC, rules.MERGED):
+        row = frame.select(text.fold(F.col("text"), table).alias("a"), text.fold_where_any(F.col("text"), table).alias("b")).collect()
+        assert all(r.a == r.b for r in row)
+
+
+def test_texts_are_resolved_once(spark):
+    rows = spark.createDataFrame([(1, "ok")], "doc_id long, text string")
+    plan = pipeline.reported(rows, vocabulary=("world",))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("tbe|ke|ne") <= 1 and "Union" not in plan
+
+
 def test_scores(spark):
     rows = spark.createDataFrame([("ab 1",), ("",), (None,), ("a\tb",), ("X Y Z ok ok ok",)], "text string")
     got = rows.select(text.score(F.col("text")).alias("s"), text.noisy(F.coalesce("text", F.lit(""))).alias("n")).collect()
