@@ -12,13 +12,13 @@ from scriptorium.operators import cleaner, entities, formatting, fuzzy, quality,
 def corrected(df: DataFrame, text: str = "text", confidence: float = 1.0, vocabulary: tuple[str, ...] = (), kind: str = "auto") -> DataFrame:
     """``df`` with final_text and output_kind of its column ``text``.
 
-    Only rows that need it pass through the dictionary corrector.
+    Only texts that need it reach the dictionary corrector; the others go by it as nulls, so every text is resolved once.
     """
     out = df.withColumn("__resolved", resolver.resolve(cleaner.clean(F.col(text))))
     if vocabulary:
         needy = quality.needs_correction(F.col("__resolved"), F.lit(confidence))
-        fixed = out.where(needy).withColumn("__resolved", fuzzy.corrector(vocabulary)(F.col("__resolved")))
-        out = out.where(~needy).unionByName(fixed)
+        fixed = fuzzy.corrector(vocabulary)(F.when(needy, F.col("__resolved")))
+        out = out.withColumn("__resolved", F.coalesce(fixed, F.col("__resolved")))
     chosen = formatting.output_kind(F.col("__resolved")) if kind == "auto" else F.lit(kind)
     out = out.withColumn("output_kind", chosen)
     return out.withColumn("final_text", formatting.formatted(F.col("__resolved"), F.col("output_kind"))).drop("__resolved")
