@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.functions import rules
-from scriptorium.functions.text import NUMBER_BOUNDARIES, SINGLE_SPACES, STANDALONE_I, Rules, blank, by_line, capitalised, filled, fold, fold_where_any, let, letter_share, lines, stripped, sub, title_word, words
+from scriptorium.functions.text import NUMBER_BOUNDARIES, SINGLE_SPACES, STANDALONE_I, Rules, blank, by_line, capitalised, filled, fold, fold_where_any, let, letter_share, lines, stripped, sub, title_word, where_found, words
 
 SPACING: Rules = (("([.!?])([A-Za-z])", "$1 $2"), ("([,;:])([A-Za-z])", "$1 $2"))
 BRACKETS: Rules = ((r"([)\]])([A-Za-z])", "$1 $2"),)
@@ -104,10 +104,13 @@ def names(c: Column) -> Column:
 
 def merged_words(c: Column) -> Column:
     """Run-together words apart, then camel case within words of five ASCII letters and more."""
-    c = fold_where_any(c, rules.MERGED)
-    parts = F.regexp_extract_all(c, F.lit(r"(?U)(?s)(\w+|\W+)"), F.lit(0))
-    camel = F.transform(parts, lambda w: F.when(w.rlike("^[A-Za-z]{5,}$") & (w != F.upper(w)), sub(w, "([a-z])([A-Z])", "$1 $2")).otherwise(w))
-    return F.array_join(camel, "")
+
+    def apart(c: Column) -> Column:
+        parts = F.regexp_extract_all(c, F.lit(r"(?U)(?s)(\w+|\W+)"), F.lit(0))
+        camel = F.transform(parts, lambda w: F.when(w.rlike("^[A-Za-z]{5,}$") & (w != F.upper(w)), sub(w, "([a-z])([A-Z])", "$1 $2")).otherwise(w))
+        return F.array_join(camel, "")
+
+    return where_found(fold_where_any(c, rules.MERGED), "[a-z][A-Z]", apart)
 
 
 def word_spacing(c: Column, brackets: bool = True) -> Column:
@@ -186,7 +189,7 @@ def letter_parts(text: str) -> list[str]:
             if len(rows) <= 4 and len(whole.split()) <= 14 and (_CODE.search(whole) or _PLACE.search(whole)):
                 out.append("\n".join(rows))
                 break
-            if _DATED.search(rows[0]) and len(rows[0].split()) <= 6:
+            if len(rows[0].split()) <= 6 and _DATED.search(rows[0]):
                 out.append(rows.pop(0))
                 continue
             apart = _OPENED.match(whole) if _OPENING.match(whole) else _CLOSED.match(whole) if _CLOSING.match(whole) else None
