@@ -286,6 +286,13 @@ class Scorer:
         return top_three(value[seen % max(1, len(distinct))], seen // max(1, len(distinct)), len(column), self.machine.bias)
 
 
+def _forget() -> None:
+    Scorer.last = None
+
+
+common.memories["op2"] = _forget
+
+
 def _solve(x: np.ndarray, plus: np.ndarray, minus: np.ndarray) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss, by Newton steps on the active rows.
 
@@ -387,7 +394,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> Machine:
         machine = fit([t for _, t, _ in found], [int(c > 0) for _, _, c in found])
         yield pa.record_batch([pa.array([pickle.dumps(machine)], pa.binary())], names=["machine"])
 
-    got = rows.mapInArrow(fitted, "machine binary").first()  # none if no task has rows
+    got = rows.mapInArrow(common.lean(fitted, "op2"), "machine binary").first()  # none if no task has rows
     return pickle.loads(got[0]) if got else fit([], [])
 
 
@@ -402,7 +409,7 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(chance)], names=["uid", "doc_id", "score"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(score, "uid long, doc_id long, score double")
+    return rows.mapInArrow(common.lean(score, "op2"), "uid long, doc_id long, score double")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -422,4 +429,4 @@ def accepted(docs: DataFrame, labels: DataFrame, learn_from: DataFrame) -> DataF
         for batch in common.slices(batches, "text", SLICE):
             yield batch.filter(pa.array(shared.value.chance(scorer.tops(batch.column(at))) < 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(common.lean(keep, "op2"), docs.schema)

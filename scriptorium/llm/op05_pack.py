@@ -36,6 +36,7 @@ REMEMBERED = 200_000
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
 _tokenizers: dict[str, tuple] = {}
+common.memories["op5"] = _tokenizers.clear
 
 
 class _Fast:
@@ -223,7 +224,7 @@ def places(bins: list[tuple[Counter, int]]) -> list[tuple]:
 def report(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """One row a piece with its sequence and its offset there."""
     spark = docs.sparkSession
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cutter(tokenizer, capacity), PIECES)
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.lean(cutter(tokenizer, capacity), "op5"), PIECES)
     pieces = common.stored(pieces.withColumn("uid", F.monotonically_increasing_id()), "op5-pieces")
     salts = SALTS * (1 + pieces.count() // SALT_ROWS)
     pieces = pieces.withColumn("salt", common.salt(F.col("uid"), salts))

@@ -72,7 +72,7 @@ def exchange(runs: DataFrame, dest, parts: int) -> DataFrame:
     names = [x.split()[0] for x in RUN.split(", ")]
     sent = runs.withColumn("part", dest).select(names).repartitionById(parts, "part")
     order = ["part", "digest", F.desc("n_chars"), F.asc_nulls_last("doc_id"), "uid"]
-    return sent.sortWithinPartitions(*order).mapInArrow(merge, RUN)
+    return sent.sortWithinPartitions(*order).mapInArrow(common.lean(merge), RUN)
 
 
 def tree(rows: int) -> tuple[int, int]:

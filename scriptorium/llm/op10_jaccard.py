@@ -49,6 +49,8 @@ BITS, COARSE, SHARP = 256, 1.5, 8.0
 #: Rows and signature bytes of a tile that are compared at once.
 CHUNK_ROWS, CHUNK_BYTES = 2048, 8 << 20
 ROWS_EACH = 1_000_000
+#: Rows of a part that go back to the JVM at once.
+SENT_ROWS = 100_000
 #: Bytes of text whose sets are built at once.
 SLICE = 1 << 20
 #: Rows with texts or signatures that go to Python at once.
@@ -226,7 +228,9 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     times = np.diff(np.append(start, len(key)))
     met = np.repeat(times > 1, times)
     pivot = np.repeat(np.minimum.reduceat(uid, start)[times > 1], times[times > 1])
-    yield pa.record_batch([pa.array(key[met]), pa.array(uid[met]), pa.array(pivot)], names=["key", "uid", "pivot"])
+    key, uid = key[met], uid[met]
+    for k in range(0, len(key), SENT_ROWS):
+        yield pa.record_batch([pa.array(x[k : k + SENT_ROWS]) for x in (key, uid, pivot)], names=["key", "uid", "pivot"])
 
 
 def common_count(a: np.ndarray, b: np.ndarray) -> int:
@@ -387,18 +391,18 @@ def verified(pairs: DataFrame, texts: DataFrame, known: DataFrame | None, thresh
 
     left = pairs.distinct()
     if known is not None:
-        left = left.join(side("a"), "a").join(side("b"), "b").mapInArrow(bound, "a long, b long")
+        left = left.join(side("a"), "a").join(side("b"), "b").mapInArrow(common.lean(bound), "a long, b long")
     left = common.stored(left, f"{name}-bounded", WIDE_ROWS)
     of = lambda x: common.among(texts, left.select(F.col(x).alias("uid")), "uid").select(F.col("uid").alias(x), F.col("text").alias(f"text_{x}"))
     both = left.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(checker(threshold), "a long, b long")
+    return both.mapInArrow(common.lean(checker(threshold)), "a long, b long")
 
 
 def classes(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD) -> DataFrame:
     """uid, doc_id, n_shingles, component_id for every row."""
     spark = docs.sparkSession
     texts = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    facts = common.stored(texts.mapInArrow(measure, SETS), "op10-sets", WIDE_ROWS)
+    facts = common.stored(texts.mapInArrow(common.lean(measure), SETS), "op10-sets", WIDE_ROWS)
     total = facts.agg(F.max("n_shingles"), F.sum("n_shingles")).first()
     bands = Bands(threshold, int(total[0] or 0))
     # equal sets: one representative
@@ -410,8 +414,8 @@ def classes(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD) -> Dat
     # tiles
     parts = common.wide_enough(spark, int(0.6 * (total[1] or 0)), ROWS_EACH)
     plain = texts.select("uid", "text")
-    entered = plain.mapInArrow(entries(bands), ENTRY).repartition(parts, F.expr("if(pivot is null, key, xxhash64(key, uid))"))
-    tiles = common.stored(entered.mapInArrow(shared, ENTRY), "op10-tiles", 4 * WIDE_ROWS)
+    entered = plain.mapInArrow(common.lean(entries(bands)), ENTRY).repartition(parts, F.expr("if(pivot is null, key, xxhash64(key, uid))"))
+    tiles = common.stored(entered.mapInArrow(common.lean(shared), ENTRY), "op10-tiles", 4 * WIDE_ROWS)
     # stars: every member with its tile's first
     rep_of = lambda x: member.select(F.col("uid").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n_shingles").alias(f"n_{x}"))
     stars = tiles.where("uid <> pivot").select("uid", "pivot").distinct().join(rep_of("uid"), "uid").join(rep_of("pivot"), "pivot").where("rep_uid <> rep_pivot")
@@ -440,9 +444,9 @@ def classes(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD) -> Dat
     # every pair that is left between components of a tile: first by coarse bitmaps, then by sharp ones
     open_ = common.stored(held.join(comp_of("rep", linked), "rep", "left").select("key", "rep", F.coalesce("comp_rep", "rep").alias("comp"), "n"), "op10-open")
     bits = lambda x: known.select(F.col("uid").alias("rep"), F.col(x).alias("bits"))
-    near = dealt(open_, bits("coarse"), COARSE, parts).mapInArrow(across(threshold, False), "key long, rep long")
+    near = dealt(open_, bits("coarse"), COARSE, parts).mapInArrow(common.lean(across(threshold, False)), "key long, rep long")
     near = common.stored(near.distinct().join(open_, ["key", "rep"]), "op10-near", WIDE_ROWS)
-    left = dealt(distinct_tiles(near, 2), bits("sharp"), SHARP, parts).mapInArrow(across(threshold, True), "a long, b long")
+    left = dealt(distinct_tiles(near, 2), bits("sharp"), SHARP, parts).mapInArrow(common.lean(across(threshold, True)), "a long, b long")
     rest = verified(left, plain, None, threshold, "op10-rest")
     all_links = common.stored(links.union(rest), "op10-links", WIDE_ROWS)
     comps = common.connected(all_links, "op10-all")

@@ -164,3 +164,26 @@ def test_pipeline(spark, tmp_path):
         if n == 1:
             assert len(kept & ({r[0] for r in copies} | {good[0][0]})) == 1
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_workers_give_memory_back():
+    """Pipeline: what a task freed does not stay with its worker, nor what other operators remember."""
+    import numpy as np
+
+    from scriptorium.llm import common, op02_toxicity, op05_pack
+
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    pinned = []
+
+    def run(batches):
+        held = [np.ones(8000) for _ in range(3000)]
+        pinned.append(np.ones(8000))  # the heap's end stays in use
+        del held
+        yield from batches
+
+    op02_toxicity.Scorer.last, op05_pack._tokenizers["x"] = ("x", None), ()
+    before = resident()
+    assert list(common.lean(run, "op5")(iter([1, 2]))) == [1, 2]
+    assert resident() - before < 64 << 20
+    assert op02_toxicity.Scorer.last is None and op05_pack._tokenizers.pop("x") == ()
+    assert common.memories.keys() == {"op2", "op5"}
