@@ -6,6 +6,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,21 @@ def test_jaccard(spark, tmp_path, rows):
     assert kept.count() == len(linked) + sum(not sets[i] for i in sets if i is not None) + 1
 
 
+def test_jaccard_joining_links(monkeypatch):
+    """A group's links join its components and are fewer than those, though all pairs link; pairs that bitmaps let through are tested."""
+    monkeypatch.setattr(op10_jaccard, "signature", lambda x, each: bytes(32))
+    rng = np.random.default_rng(3)
+    sets = [np.sort(np.append(rng.integers(0, 1 << 63, 10, np.int64), np.arange(k, k + 190))).astype(np.uint64) for k in [0] * 40 + [5000] * 30]
+    size = [len(x) for x in sets]
+    rep = list(range(70))
+    columns = [[9] * 70, [0] * 70, [0] * 70, [0] * 70, rep, rep, size, [x.tobytes() for x in sets]]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    batch = pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in op10_jaccard.TILE.split(", ")])
+    links = [(a, b) for out in op10_jaccard.joining(op10_jaccard.THRESHOLD)(iter([batch])) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    assert len(links) == 39 + 29 and all(a < b and (a < 40) == (b < 40) for a, b in links)
+    assert {x for link in links for x in link} == set(rep)
+
+
 @pytest.mark.parametrize(("crowd", "often"), [(1024, 16), (1, 16), (2, 2)])
 def test_suffix(spark, tmp_path, rows, monkeypatch, crowd, often):
     monkeypatch.setattr(op03_suffix, "CROWD", crowd)
