@@ -15,9 +15,10 @@ result; repeated rows are packed each; pieces of one length are placed by doc_id
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ CAPACITY, END_ID = 4096, 1
 SALTS, SALT_ROWS = 256, 50_000_000
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Chunks whose ids a worker remembers; beyond that it starts afresh.
+#: Chunks, and as many words, whose ids a worker remembers; beyond that it forgets those not asked for lately.
 REMEMBERED = 200_000
 #: What Python's split() takes for white space and the tokenizer does not.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
@@ -39,13 +40,31 @@ _tokenizers: dict[str, tuple] = {}
 common.memories["op5"] = _tokenizers.clear
 
 
+class _Recent(dict):
+    """Values worked out lately: at half of REMEMBERED they become the older half, from which those asked for come back."""
+
+    def __init__(self, work: Callable[[str], bytes]):
+        super().__init__()
+        self.work, self.older = work, {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.older.get(key)
+        if got is None:
+            got = self.work(key)
+        if len(self) >= REMEMBERED // 2:
+            self.older = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
 class _Fast:
-    """The ids of chunks of text, each worked out once.
+    """The ids of chunks of text, each worked out once as long as it is remembered.
 
     Every step of the tokenizer (composition, lower case, its split pattern, merges) works within a
     chunk between white space.  A chunk of Latin letters below U+0250 is composed already and lower-cased
     the same way by Python, so only its new words meet the merges; any other chunk goes through the whole
-    tokenizer.
+    tokenizer.  Letters alone, or with signs after them, are split without the pattern, as it does.
     """
 
     def __init__(self, path: str):
@@ -63,54 +82,54 @@ class _Fast:
         letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in letters]
         self.shown = {b: chr(b) for b in letters} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.code = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
+        self.chunks, self.words = _Recent(self._chunk), _Recent(self._word)
 
-    def ids(self, text: str) -> np.ndarray:
+    def raw(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit numbers."""
         if any(c in text for c in NOT_SPACE):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
-        chunks = text.split()
-        known = self.chunks
-        try:
-            return np.frombuffer(b"".join([known[c] for c in chunks]), "<u4")
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-            self.words.clear()
-        for chunk in chunks:
-            if chunk not in known:
-                known[chunk] = self._chunk(chunk)
-        return np.frombuffer(b"".join([known[c] for c in chunks]), "<u4")
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.chunks.__getitem__, text.split()))
 
     def _chunk(self, chunk: str) -> bytes:
-        if self.other(chunk):
+        if not (chunk.isascii() and chunk.isalpha()) and self.other(chunk):
             return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join([self.words.get(w) or self._word(w) for w in self.split(chunk.lower())])
+        low = chunk.lower()
+        if low == chunk:
+            low = chunk  # one string for both memories
+        stem = low.rstrip(string.punctuation)
+        if stem.isalpha():
+            return self.words[stem] + self.words[low[len(stem) :]] if len(stem) < len(low) else self.words[stem]
+        return b"".join(map(self.words.__getitem__, self.split(low)))
 
     def _word(self, word: str) -> bytes:
-        shown = word if word.isascii() and word.isalnum() else "".join([self.shown[b] for b in word.encode()])
-        got = self.words[word] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-        return got
+        shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.shown)
+        return b"".join([self.code[t.id] for t in self.model.tokenize(shown)])
 
 
-def token_ids(text: str, path: str) -> np.ndarray:
-    """The tokenizer's ids of a text."""
+def _tokenizer(path: str) -> _Fast:
     if path not in _tokenizers:
         _tokenizers[path] = _Fast(path)
-    return _tokenizers[path].ids(text)
+    return _tokenizers[path]
+
+
+def token_ids(text: str, path: str) -> np.ndarray:
+    """The tokenizer's ids of a text."""
+    return np.frombuffer(_tokenizer(path).raw(text), "<u4")
 
 
 def cutter(path: str, capacity: int):
+    end, width = END_ID.to_bytes(4, "little"), 4 * capacity
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = _tokenizer(path).raw
         for batch in common.slices(batches, "text", 1 << 20):
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = token_ids(text or "", path)
-                ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    for column, value in zip(out, (doc_id, piece, start, len(part), zlib.crc32(part.tobytes())), strict=True):
+                ids = raw(text or "") + end
+                for piece, start in enumerate(range(0, len(ids), width)):
+                    part = ids[start : start + width]
+                    for column, value in zip(out, (doc_id, piece, start // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])

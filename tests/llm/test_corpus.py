@@ -101,6 +101,24 @@ def test_ids():
         assert list(op05_pack.token_ids(text, path)) == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_tokens_remembered(monkeypatch):
+    """What every text has is worked out once, however many other words a worker forgets; ids are the tokenizer's."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(op05_pack.TOKENIZER)
+    worked, work = [], op05_pack._Fast._word
+    monkeypatch.setattr(op05_pack, "REMEMBERED", 40)
+    monkeypatch.setattr(op05_pack._Fast, "_word", lambda self, word: worked.append(word) or work(self, word))
+    monkeypatch.setattr(op05_pack, "_tokenizers", {})
+    whole = Tokenizer.from_file(path)
+    for i in range(60):
+        text = f"The {'abcdefghij'[i % 10] * (2 + i // 10)}, don't{'.' * (i % 3)} it's--'s 'S! $x_y {chr(0xe0 + i % 30)}t\x7f' \u01c5a. 1a2 \xaax\xb2 end.'t"
+        assert list(op05_pack.token_ids(text, path)) == whole.encode(text, add_special_tokens=False).ids, text
+    assert worked.count("the") == 1 and worked.count("don") == 1
+    memory = op05_pack._tokenizers[path].chunks
+    assert len(memory) + len(memory.older) <= 40
+
+
 def test_pack_plan():
     rng = np.random.default_rng(4)
     lengths = rng.integers(1, 101, 3000)
