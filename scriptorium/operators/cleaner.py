@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rules
-from scriptorium.functions.text import NUMBER_BOUNDARIES, Rules, blank, by_line, filled, fold, let, letters, stripped, sub, where_found
+from scriptorium.functions.text import NUMBER_BOUNDARIES, NUMBER_MEETS_LETTER, Rules, blank, by_line, filled, fold, let, letters, stripped, sub, where_found
 
 LONE_NOISE: Rules = ((r"(?U)(?<!\S)[^a-zA-Z0-9$€£¥₹.,!?;:'\-\"](?!\S)", ""),)
 HYPHEN_BREAK: Rules = ((r"(?U)(\w)-\s{2,}(\w)", "$1$2"),)
@@ -23,7 +23,7 @@ def ligatures(c: Column) -> Column:
             c = F.replace(c, F.lit(wrong), F.lit(right))
         return c
 
-    return where_found(c, f"[{''.join(rules.LIGATURES)}]", change)
+    return where_found(c, r"[|\x{80}-\x{10FFFF}]", change)
 
 
 def lone_noise(c: Column) -> Column:
@@ -31,7 +31,7 @@ def lone_noise(c: Column) -> Column:
 
 
 def hyphen_break(c: Column) -> Column:
-    return fold(c, HYPHEN_BREAK)
+    return where_found(c, r"(?U)-\s\s", lambda x: fold(x, HYPHEN_BREAK))
 
 
 def exclamation(c: Column) -> Column:
@@ -40,7 +40,7 @@ def exclamation(c: Column) -> Column:
 
 
 def number_boundaries(c: Column) -> Column:
-    return where_found(c, r"\p{Nd}", lambda x: fold(x, NUMBER_BOUNDARIES))
+    return where_found(c, NUMBER_MEETS_LETTER, lambda x: fold(x, NUMBER_BOUNDARIES))
 
 
 def merged_words(c: Column) -> Column:
@@ -62,9 +62,9 @@ def ambiguous(c: Column) -> Column:
         out = F.when(inside.contains("6") & (share > 0.7), sub(out, "(?<=[a-zA-Z])6(?=[a-zA-Z])", "G")).otherwise(out)
         return F.when(kept, tok).otherwise(out)
 
-    # only tokens with one of these digits can change
+    # only tokens with a letter and one of these digits can change
     rated = lambda t: let(inner(t), lambda inside: let(share_of(inside), lambda share: changed(t, inside, share)))
-    return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike("[0156]"), rated(t)).otherwise(t)), " ")
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike("[0156]") & t.rlike(r"[a-zA-Z\p{L}]"), rated(t)).otherwise(t)), " ")
 
 
 def rebuild_paragraphs(c: Column) -> Column:

@@ -15,8 +15,12 @@ KINDS = ("email", "phone", "date", "url", "currency")
 _EMAIL = r"^[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}$"
 
 
+#: What may come first in a match, looked at before its pattern; an e-mail address starts where its characters do, or a match has ended.
+_STARTS = {"email": r"(?:\G|(?<![a-zA-Z0-9._%+\-]))", "phone": r"(?=[+\s\-\d])", "date": r"(?=[\dJFMASOND])", "zipcode": r"(?=\d)"}
+
+
 def matches(c: Column, kind: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(filled(c), F.lit("(?iuU)" + rules.ENTITY[kind]), F.lit(group))
+    return F.regexp_extract_all(filled(c), F.lit("(?iuU)" + _STARTS.get(kind, "") + rules.ENTITY[kind]), F.lit(group))
 
 
 def cleaned(kind: str, x: Column) -> Column:

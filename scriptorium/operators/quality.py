@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import filled, noisy, score, words
+from scriptorium.functions.text import filled, let, noisy, score, words
 
 TARGET, SCORE_WEIGHT, KEPT_WEIGHT = 0.85, 0.7, 0.3
 
@@ -27,7 +27,7 @@ def report(raw: Column, clean: Column) -> dict[str, Column]:
 
 
 def needs_correction(c: Column, confidence: Column) -> Column:
-    return noisy(filled(c)) | (F.least(confidence, score(c)) < 0.65) | (score(c) < 0.70)
+    return noisy(filled(c)) | let(score(c), lambda s: (F.least(confidence, s) < 0.65) | (s < 0.70))
 
 
 def accuracy_bucket(pct: Column) -> Column:

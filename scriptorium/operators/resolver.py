@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rules
-from scriptorium.functions.text import NUMBER_BOUNDARIES, RN_TO_M, STANDALONE_I, Rules, blank, by_line, capitalised, filled, fold, fold_where_any, let, raised_letter, where_found
+from scriptorium.functions.text import NUMBER_BOUNDARIES, NUMBER_MEETS_LETTER, RN_TO_M, STANDALONE_I, Rules, blank, by_line, capitalised, filled, fold, fold_where_any, let, raised_letter, where_found
 
 RUN_ON: Rules = (("([.!?])([A-Z][a-z])", "$1 $2"), ("(,)([A-Z][a-z]{2,})", "$1 $2"))
 PUNCTUATION: Rules = (
@@ -41,11 +41,11 @@ def sentence_case(c: Column) -> Column:
 
 
 def list_markers(c: Column) -> Column:
-    return fold(c, LIST_MARKERS)
+    return where_found(c, r"(?U)\s(?:\d{1,2}[.)]|[-•*])\s+[A-Z]", lambda x: fold(x, LIST_MARKERS))
 
 
 def number_boundaries(c: Column) -> Column:
-    return where_found(c, r"\p{Nd}", lambda x: fold(x, NUMBER_BOUNDARIES))
+    return where_found(c, NUMBER_MEETS_LETTER, lambda x: fold(x, NUMBER_BOUNDARIES))
 
 
 def resolve_line(line: Column) -> Column:

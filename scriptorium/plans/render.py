@@ -10,12 +10,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by their key over all cores: a text costs far more than the row it is rendered from, of which one task reads a whole file."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): a letter an order; the small nation side is joined by whatever strategy its size allows."""
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     key = F.col("o_orderkey").cast("string")
     cust = F.col("c_custkey").cast("string")
-    return rows.select(
+    return spread(rows, "o_orderkey").select(
         F.col("o_orderkey").alias("doc_id"),
         F.concat(
             F.lit("Dear "), "n_name", F.lit(" Desk,\nOrder "), key, F.lit(" of "), F.date_format("o_orderdate", "d MMMM yyyy"), F.lit(" is confirmed.The total is $"), F.format_string("%.2f", "o_totalprice"),
@@ -28,7 +33,7 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
     body = F.concat(F.lit("Q1. Meaning of economics:- "), "p_name", F.lit(" 1) Wealth of part "), key, F.lit(" 2) Welfare and scarsity\n#%% @\ndef. size "), size)
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), body.alias("text"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("doc_id"), body.alias("text"))
 
 
 def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,3 +208,21 @@ def test_pipeline(spark):
     assert got[2].final_text == "Ok"
     wrapped = formatting.wrap_rows(spark.createDataFrame([(1, "  " + "word " * 8 + "\n\nx")], "doc_id long, text string"), 20).orderBy("line_no").collect()
     assert [(r.is_blank, r.indent) for r in wrapped] == [(False, 2), (False, 0), (True, 0), (False, 0)]
+
+
+def test_rendered_texts_are_dealt_out_over_the_cores(spark):
+    from scriptorium.plans import render
+
+    for name in ("letters", "notes", "noisy"):
+        assert getattr(render, name)(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_upper_case_table_is_for_other_than_ascii_only(spark):
+    frame = spark.createDataFrame([("",), ("ab",), ("Ab",), ("1a",), ("éa",), ("ßa",), ("😀a",), (None,)], "text string")
+    assert [r.o for r in frame.select(text.raised_letter(F.col("text")).alias("o")).collect()] == ["", "Ab", "Ab", "1a", "Éa", "ẞa", "😀a", None]
+    assert [r.o for r in frame.select(text.noisy(F.col("text")).alias("o")).collect()] == [True] * 7 + [None]
+
+
+def test_email_addresses_that_touch(spark):
+    given = "a@b.com_c@d.ee-x@y.zz no@no @a.bc x@@y.com"
+    assert spark.createDataFrame([(given,)], "text string").select(entities.matches(F.col("text"), "email").alias("v")).first().v == ["a@b.com", "_c@d.ee", "-x@y.zz"]
