@@ -5,14 +5,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.functions import rules
-from scriptorium.functions.text import NUMBER_BOUNDARIES, SINGLE_SPACES, STANDALONE_I, Rules, blank, by_line, capitalised, filled, fold, fold_where_any, let, letter_share, lines, stripped, sub, title_word, where_found, words
+from scriptorium.functions.text import NUMBER_BOUNDARIES, NUMBER_MEETS_LETTER, SINGLE_SPACES, STANDALONE_I, Rules, blank, by_line, capitalised, filled, fold, fold_where_any, let, letter_share, lines, stripped, sub, title_word, where_found, words
 
+#: Found where a rule of POST_CHARS may match, and where one of word spacing may.
+POST_CHAR = r"(?U)[|\x{80}-\x{10FFFF}]|(?m:^l )|L(?!\w)|Dear \w+,\s"
+SPACED = rf"[.!?,;:)\]][A-Za-z]|{NUMBER_MEETS_LETTER}|  "
 SPACING: Rules = (("([.!?])([A-Za-z])", "$1 $2"), ("([,;:])([A-Za-z])", "$1 $2"))
 BRACKETS: Rules = ((r"([)\]])([A-Za-z])", "$1 $2"),)
 STRUCTURE: Rules = (
@@ -75,7 +78,7 @@ def reconstructed(c: Column) -> Column:
 
 
 def chars(c: Column) -> Column:
-    return fold(c, rules.POST_CHARS + SINGLE_SPACES)
+    return fold(where_found(c, POST_CHAR, lambda x: fold(x, rules.POST_CHARS)), SINGLE_SPACES)
 
 
 def academic(c: Column) -> Column:
@@ -95,11 +98,11 @@ def word_fixes(c: Column) -> Column:
 
 
 def common_errors(c: Column) -> Column:
-    return fold(c, rules.COMMON_ERRORS)
+    return fold_where_any(c, rules.COMMON_ERRORS)
 
 
 def names(c: Column) -> Column:
-    return fold(c, rules.NAMES)
+    return fold_where_any(c, rules.NAMES)
 
 
 def merged_words(c: Column) -> Column:
@@ -116,7 +119,7 @@ def merged_words(c: Column) -> Column:
 def word_spacing(c: Column, brackets: bool = True) -> Column:
     """Spaces after signs and between numbers and letters, line by line; without the bracket rule for PDF text."""
     chain = SPACING + (BRACKETS if brackets else ()) + NUMBER_BOUNDARIES + SINGLE_SPACES
-    return by_line(filled(c), lambda x: F.when(blank(x), x).otherwise(fold(x, chain)))
+    return by_line(filled(c), lambda x: where_found(x, SPACED, lambda y: F.when(blank(y), y).otherwise(fold(y, chain))))
 
 
 def trailing_garbage_free(c: Column) -> Column:
@@ -164,8 +167,9 @@ def repaired_dates(c: Column) -> Column:
         month = let(F.lower(word), lambda w: F.coalesce(F.try_element_at(months, w), F.try_element_at(heads, F.when(F.length(w) > 2, F.substring(w, 1, 3))), F.initcap(w)))
         return F.when(part.rlike(DATE_PARTS), F.concat_ws(" ", day, month, year)).otherwise(part)
 
-    parts = F.regexp_extract_all(filled(c), F.lit(rf"(?iU)({DATE}|[^0-9]+|[0-9])"), F.lit(1))
-    return sub(F.array_join(F.transform(parts, repair), ""), r"(?U)\b1(202[0-9])\b", "$1")
+    parts = lambda x: F.regexp_extract_all(x, F.lit(rf"(?iU)({DATE}|[^0-9]+|[0-9])"), F.lit(1))
+    dated = where_found(filled(c), f"(?iU){DATE}", lambda x: F.array_join(F.transform(parts(x), repair), ""))
+    return sub(dated, r"(?U)(?=1)\b1(202[0-9])\b", "$1")
 
 
 # What tells addresses, dates, openings and closings among paragraphs.
@@ -200,13 +204,14 @@ def letter_parts(text: str) -> list[str]:
 
 
 def letter_paragraphs(df: DataFrame, text: str, parts: str) -> DataFrame:
-    """``df`` with the paragraphs of its column ``text``; an operator of its own, so Python stays out of SQL lambdas."""
+    """``df`` with the paragraphs of its column ``text``, null for null; an operator of its own, so Python stays out of SQL lambdas."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.assign(**{parts: [letter_parts(t or "") for t in batch[text]]})
+            found = [None if t is None else letter_parts(t) for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], [*batch.schema.names, parts])
 
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(parts, T.ArrayType(T.StringType()))]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(parts, T.ArrayType(T.StringType()))]))
 
 
 def polished(paragraphs: Column) -> Column:
@@ -240,11 +245,10 @@ def letter_text(c: Column) -> Column:
 def processed(df, text: str = "text", vocabulary: tuple[str, ...] = ()):
     """``df`` with doc_type, post_text, confidence, confidence_pct and paragraphs of its column ``text``."""
     kind = F.when(blank(filled(F.col(text))), F.lit(None).cast("string")).otherwise(document_kind(F.col(text)))
-    out = df.withColumn("doc_type", kind)
-    notes = out.where("doc_type = 'notes'").withColumn("__parts", notes_paragraphs(notes_text(F.col(text))))
-    other = letter_paragraphs(out.where("doc_type <> 'notes'").withColumn("__text", letter_text(F.col(text))), "__text", "__parts").drop("__text")
-    empty = out.where("doc_type is null").withColumn("__parts", F.array().cast("array<string>"))
-    out = notes.unionByName(other).unionByName(empty)
+    notes = F.when(F.col("doc_type") == "notes", notes_paragraphs(notes_text(F.col(text))))
+    # one pass for all kinds: each text meets the chain of its own kind, and notes go by Python as nulls
+    out = df.withColumn("doc_type", kind).withColumn("__text", F.when(F.col("doc_type") != "notes", letter_text(F.col(text))))
+    out = letter_paragraphs(out, "__text", "__parts").withColumn("__parts", F.coalesce(notes, F.col("__parts"), F.array().cast("array<string>"))).drop("__text")
     out = out.withColumn("post_text", F.array_join(polished(F.col("__parts")), "\n\n")).drop("__parts")
     share = vocabulary_share(F.col("post_text"), F.array(*map(F.lit, vocabulary)).cast("array<string>"))
     return out.withColumns({"confidence": F.round(share, 4), "confidence_pct": F.round(share * 100, 1), "paragraphs": F.filter(F.split("post_text", "\n\n", -1), lambda p: ~blank(p))})

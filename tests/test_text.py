@@ -226,3 +226,9 @@ def test_upper_case_table_is_for_other_than_ascii_only(spark):
 def test_email_addresses_that_touch(spark):
     given = "a@b.com_c@d.ee-x@y.zz no@no @a.bc x@@y.com"
     assert spark.createDataFrame([(given,)], "text string").select(entities.matches(F.col("text"), "email").alias("v")).first().v == ["a@b.com", "_c@d.ee", "-x@y.zz"]
+
+
+def test_processed_reads_its_input_once(spark):
+    rows = spark.range(1).select(F.col("id").alias("doc_id"), F.lit("Dear Sam").alias("text")).repartition(2)
+    plan = postprocess.processed(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1 and "Union" not in plan
